@@ -13,6 +13,8 @@ from .common import count_words, table
 from .mixing import mix_sources
 from .quality_rules import quality_verdicts
 from .simhash_dedup import simhash_components
+from .substring_dedup import remove_repeated_words
+from .suffix_array_dedup import remove_repeated_bytes
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +50,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
