@@ -51,18 +51,18 @@ def shard_tree(slots: DataFrame, shards: int, seed: str) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-    blocks: int = 256, shards: int = 16, seed: str = "mix",
+    blocks: int = 256, shards: int = 16, seed: str = "mix", carry: bool = False,
 ) -> DataFrame:
-    """docs (doc_id, text or size, source, ...) -> its columns and size, source_size, target, taken, shards.
+    """docs (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, shards.
 
-    A row for each row. `size` is the text's words (null: 0) unless docs has the column. `taken` is how many of a
+    A row for each row; with `carry` also `row`, a struct of all its columns. `size` is the text's words (null: 0). `taken` is how many of a
     row's words the mix takes, with repeats: over a source they add up to its target, rounded down. A row is taken
     whole but for one row of each source, of which only as many words are as the quota has left. `shards` lists
     the output shard of each time it is taken. Repeated rows count each; null sources are one source; a null doc_id
-    is a doc_id like others; other columns pass. An empty table gives no rows. No window holds more than one block
+    is a doc_id like others; other columns are ignored. An empty table gives no rows. No window holds more than one block
     of one source: raise `blocks` with the corpus."""
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", count_words(F.col("text")))
+    carried = [F.struct(*docs.columns).alias("row")] if carry else []
+    docs = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *carried)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     place = _random(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     rows = docs.withColumn("__key", key).withColumn("__place", place).withColumn("__block", F.shiftright("__place", 60 - (blocks - 1).bit_length()))
@@ -83,6 +83,16 @@ def mix_sources(
     part = F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("lower") - F.col("__before")))
     times = (F.col("whole") + (part > 0).cast("long")).cast("int")
     return rows.join(plan, ["__key", "__block"]).select(
-        *docs.columns, "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"),
+        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"),
         F.slice(F.coalesce("dealt", F.array().cast("array<int>")), 1, times).alias("shards"),
+        *[F.col(c) for c in docs.columns if c == "row"],
     )
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them. The one row of a source that the
+    quota cuts comes whole if it has at least half of its words in it, and otherwise not; rows without words come
+    as often as their source is taken whole."""
+    mix = mix_sources(docs, carry=True, **how)
+    times = F.when(F.col("size") > 0, F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(F.size("shards")).cast("int")
+    return mix.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")

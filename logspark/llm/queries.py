@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_fit_packing import pack_documents
-from .common import count_words, table
+from .common import table
 from .embedding_dedup import embedding_components
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -51,8 +51,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 @query
