@@ -10,6 +10,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,38 +19,51 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 RUNS = "length long, first_rank long, n long, per_sequence long, first_sequence long, at long"
 
 
-def word_ids(tokenizer_path: str, most: int = 400_000) -> Callable[[list[bytes]], bytes]:
-    """A function from the words of a text to its ids as little-endian unsigned 32-bit bytes.
+def word_ids(tokenizer_path: str, most: int = 400_000) -> Callable[[list[bytes]], list[bytes]]:
+    """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and none of its pre-tokens crosses any, so a text's ids are its words' ids
-    in order. Up to `most` distinct words are kept in memory; the rest are encoded each time."""
+    The vocabulary drops white space, writes ASCII letters small, and none of its pre-tokens crosses white space, so
+    a text's ids are its words' ids in order. Up to `most` distinct words are kept in memory; the rest are encoded
+    for each batch that has them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     known: dict[bytes, bytes] = {}
 
-    def encode(words: list[bytes]) -> bytes:
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        extra = {}
-        if new:
-            found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            extra = {w: array("I", e.ids).tobytes() for w, e in zip(new, found)}
-        if len(known) + len(extra) <= most:
-            known.update(extra)
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([known.get(w) or extra.get(w, b"") for w in words])
+    def learn(words: Iterable[bytes]) -> list[bytes]:
+        new = list(words)
+        found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        known.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        return new
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        # Special strings are matched before letters are made small.
+        split = [(t if b"<|" in t else t.translate(_SMALL)).split() for t in texts]
+        new = set(chain.from_iterable(split)).difference(known)
+        # One mark after an ASCII letter is a pre-token of its own.
+        marked = [w for w in new if w[-1] in b".,;:!?" and w[-2:-1].islower()]
+        new.difference_update(marked)
+        new.update([w[:-1] for w in marked], [w[-1:] for w in marked])
+        added = learn(new.difference(known))
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in marked])
+        ids = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > most:
+            for w in chain(added, marked):
+                known.pop(w, None)
+        return ids
 
     return encode
 
 
-_encoders: dict[str, Callable[[list[bytes]], bytes]] = {}
+_encoders: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
 
-def encoder(path: str) -> Callable[[list[bytes]], bytes]:
+def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     if path not in _encoders:
         _encoders[path] = word_ids(path)
     return _encoders[path]
@@ -63,8 +77,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
         encode = encoder(tokenizer_path)
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-                ids = encode(text.split()) + end
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(text_bytes(batch.column("text")))):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
