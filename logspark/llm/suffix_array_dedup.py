@@ -38,28 +38,25 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(j)]):
                 to[c[a]].append(j[a:b])
 
+    def scan(own: list[np.ndarray], of_kind: np.ndarray, to: list[list[np.ndarray]]) -> None:
+        """Hands on all arrays of a bucket, and then what that has added to it, until nothing is added."""
+        done = 0
+        while done < len(own):
+            now = own[done] if done + 1 == len(own) else np.concatenate(own[done:])
+            done = len(own)
+            j = now[now > 0] - 1
+            deal(j[of_kind[j]], to)
+
+    large = ~small
     by_symbol: list[list[np.ndarray]] = [[] for _ in range(sigma)]
     deal(lms, by_symbol)
     for c in range(sigma):
-        k = 0
-        while k < len(larger[c]):
-            j = larger[c][k][larger[c][k] > 0] - 1
-            deal(j[~small[j]], larger)
-            k += 1
-        for own in by_symbol[c]:
-            j = own[own > 0] - 1
-            deal(j[~small[j]], larger)
-    smaller[s[-1]].append(np.array([len(s) - 1]))
+        scan(larger[c], large, larger)
+        scan(by_symbol[c], large, larger)
+    smaller[s[-1]].append(np.array([len(s) - 1], np.int32))
     for c in range(sigma - 1, -1, -1):
-        k = 0
-        while k < len(smaller[c]):
-            j = smaller[c][k][smaller[c][k] > 0] - 1
-            deal(j[small[j]], smaller)
-            k += 1
-        for own in reversed(larger[c]):
-            own = own[::-1]
-            j = own[own > 0] - 1
-            deal(j[small[j]], smaller)
+        scan(smaller[c], small, smaller)
+        scan([x[::-1] for x in reversed(larger[c])], small, smaller)
     parts = []
     for c in range(sigma):
         parts += larger[c]
@@ -77,7 +74,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     following = np.where(step != 0, np.arange(n - 1), n)
     following = np.minimum.accumulate(following[::-1])[::-1]
     small = np.append(step[np.minimum(following, n - 2)] > 0, True) if n > 1 else np.array([True])
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(lms):
         return _induce(s, small, lms, sigma)
     order = _induce(s, small, lms, sigma)
@@ -150,7 +147,7 @@ def shard_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     s[-1] = 0
     used = np.zeros(258, bool)
     used[s] = True
-    s = (np.cumsum(used) - 1)[s]
+    s = (np.cumsum(used) - 1).astype(np.int16)[s]
     order = suffix_array(s, length)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     left = begins[owner] + sizes[owner] - np.arange(len(raw))
