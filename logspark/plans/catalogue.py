@@ -1,10 +1,403 @@
-"""Named queries over the driver's tables and the SQL that gives the same rows."""
+"""Named queries over the driver's tables and the SQL that gives the same rows.
+
+Outputs are scalars: labels and lists are shown as text."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import chunks, lifecycle, placement, search, stages, telemetry
+from ..sources import payloads, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'info' END"
+_CODE = "CASE WHEN event_type = 'error' THEN '500' ELSE '200' END"
+_K = "regexp_replace(props, '[^0-9]', '', 'g')"
+#: The event table in SQL.
+_E = f"""e AS (SELECT event_id AS ingest_seq, ts, user_id, event_type AS service, 'tenant-' || (user_id % 3) AS tenant_id,
+  CASE WHEN user_id % 2 = 0 THEN 'prod' ELSE 'dev' END AS env, 'h' || (user_id % 10) AS host, {_LEVEL} AS level, {_CODE} AS code, {_K} AS k, value,
+  '{{"service":"' || event_type || '","level":"' || {_LEVEL} || '","user":"u' || user_id || '","status_code":' || {_CODE} || ',"props":"k' || {_K} || '"}}' AS body,
+  'tenant-' || (user_id % 3) || '|env=' || (CASE WHEN user_id % 2 = 0 THEN 'prod' ELSE 'dev' END) || '|service=' || event_type AS stream_key
+  FROM events)"""
+_START, _END = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+
+
+def _ns(time: str) -> int:
+    from datetime import UTC, datetime
+
+    return int(datetime.fromisoformat(time).replace(tzinfo=UTC).timestamp()) * 1_000_000_000
+
+
+def register(sql: str | None = None) -> Callable:
+    def of(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"WITH {_E} {sql}"
+        return f
+
+    return of
+
+
+def _q(**more) -> search.Query:
+    return search.Query("tenant-1", _ns(_START), _ns(_END), **more)
+
+
+_RANGE = f"tenant_id = 'tenant-1' AND ts BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}'"
+_OUT = ("ingest_seq", "ts", "tenant_id", "body")
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND env = 'prod' AND contains(lower(body), 'error') ORDER BY ts, ingest_seq LIMIT 100")
+def search_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenant, time, label and substring, the first hundred."""
+    return search.search(tables.driver_events(spark, sf_dir), _q(labels={"env": "prod"}, contains="ERROR", limit=100)).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND host = 'h7' AND code = '500'")
+def search_field_any_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field predicates find parsed fields and resource attributes alike."""
+    parsed = stages.run_stages(tables.driver_events(spark, sf_dir), [stages.Stage("json", "json")])
+    return search.search(parsed, _q(fields={"host": "h7", "status_code": "500"})).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND regexp_matches(body, '\"user\":\"u1[0-9]\".*:\"k[5-9]\"}}$')")
+def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(tables.driver_events(spark, sf_dir), _q(regex='"user":"u1[0-9]".*:"k[5-9]"}$')).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} ORDER BY ts, ingest_seq LIMIT 50 OFFSET 50")
+def search_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(tables.driver_events(spark, sf_dir), _q(limit=50, cursor="50")).select(*_OUT)
+
+
+@register("SELECT ingest_seq, ts, tenant_id, body FROM e WHERE tenant_id = 'tenant-0' AND ts BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00' ORDER BY ts DESC, ingest_seq DESC LIMIT 100")
+def tail_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = search.tail("tenant-0", _ns("2024-01-15 00:00:00"), _ns("2024-01-14 00:00:00"))
+    return search.search(tables.driver_events(spark, sf_dir), q).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND service = 'purchase' AND contains(lower(body), 'k42') ORDER BY ts, ingest_seq LIMIT 100")
+def loki_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What {{service="purchase"}} |= "k42" asks for, given as conditions."""
+    return search.search(tables.driver_events(spark, sf_dir), _q(labels={"service": "purchase"}, contains="k42", limit=100)).select(*_OUT)
+
+
+@register("SELECT ingest_seq, ts, tenant_id, body, 0 AS tier FROM e")
+def hot_cold_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the stored events comes again as new ones."""
+    stored = tables.driver_events(spark, sf_dir)
+    new = stored.where("ingest_seq % 10 = 0").withColumn("tier", F.lit(1).cast("byte"))
+    return search.merged(stored, new).select(*_OUT, F.col("tier").cast("int").alias("tier"))
+
+
+@register(f"SELECT count(*) AS candidate_rows, count(DISTINCT stream_key) AS candidate_streams FROM e WHERE {_RANGE} AND env = 'prod'")
+def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.candidate_stats(tables.driver_events(spark, sf_dir), _q(labels={"env": "prod"}, contains="error"))
+
+
+@register("SELECT stream_key, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY stream_key")
+def stream_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir).withColumn("stream_key", text.stream_key("tenant_id", "stream_labels"))
+    return e.groupBy("stream_key").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@register("SELECT 'service' AS key, service AS value, count(*) AS events FROM e GROUP BY service UNION ALL SELECT 'env', env, count(*) FROM e GROUP BY env")
+def label_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(tables.driver_events(spark, sf_dir))
+
+
+@register("SELECT key, value, count(*) AS events FROM (SELECT unnest(['service', 'level', 'user', 'status_code', 'props']) AS key, unnest([service, level, 'u' || user_id, code, 'k' || k]) AS value FROM e) GROUP BY key, value")
+def field_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = stages.run_stages(tables.driver_events(spark, sf_dir), [stages.Stage("json", "json")])
+    return search.postings(parsed, "parsed_fields")
+
+
+@register("SELECT ingest_seq FROM e WHERE service = 'click' INTERSECT SELECT ingest_seq FROM e WHERE env = 'dev'")
+def postings_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.intersect_postings(tables.driver_events(spark, sf_dir), {"service": "click", "env": "dev"})
+
+
+def _fields(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("ingest_seq", *[text.get("parsed_fields", n).alias(n) for n in names])
+
+
+@register("SELECT ingest_seq, service, level, 'u' || user_id AS \"user\", code AS status_code, 'k' || k AS props FROM e")
+def pipeline_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.run_stages(tables.driver_events(spark, sf_dir), [stages.Stage("json", "json")])
+    return _fields(done.where("failed IS NULL"), "service", "level", "user", "status_code", "props")
+
+
+@register("SELECT ingest_seq, level, service, 'u' || user_id AS \"user\", code AS status, 'k' || k AS msg FROM e")
+def pipeline_logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.run_stages(tables.driver_events_logfmt(spark, sf_dir), [stages.Stage("logfmt", "logfmt")])
+    return _fields(done, "level", "service", "user", "status", "msg")
+
+
+@register("SELECT ingest_seq, code AS status, CAST(user_id AS VARCHAR) AS user_no FROM e")
+def pipeline_regex_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = r"user=u(?P<user_no>\d+) status=(?P<status>\d+)"
+    done = stages.run_stages(tables.driver_events_logfmt(spark, sf_dir), [stages.Stage("regex", "regex", {"pattern": pattern})])
+    return _fields(done, "status", "user_no")
+
+
+@register("SELECT ingest_seq, 'eu' AS region, code AS http_status, '' AS status, '[REDACTED]' AS \"user\", replace('level=' || level || ' service=' || service, 'service', '***') AS head FROM e")
+def pipeline_static_rename_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.run_stages(
+        tables.driver_events_logfmt(spark, sf_dir),
+        [
+            stages.Stage("logfmt", "logfmt"), stages.Stage("static", "static", {"label.region": "eu", "origin": "driver"}),
+            stages.Stage("rename", "rename", {"from": "status", "to": "http_status"}), stages.Stage("user", "redact", {"field": "user"}),
+            stages.Stage("word", "redact", {"field": "service", "target": "body", "replacement": "***"}),
+        ],
+    )
+    head = F.regexp_extract("body", r"^(level=\S+ \S+=\S+)", 1)
+    return _fields(done.withColumn("parsed_fields", text.overlay(F.col("parsed_fields"), F.create_map(F.lit("region"), text.get("stream_labels", "region"), F.lit("head"), head))), "region", "http_status", "status", "user", "head")
+
+
+@register("SELECT ingest_seq, date_trunc('second', ts) AS ts, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000000000 AS ts_ns FROM e")
+def pipeline_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.run_stages(tables.driver_events_logfmt(spark, sf_dir), [stages.Stage("logfmt", "logfmt"), stages.Stage("time", "timestamp", {"source": "ts", "format": "unix"})])
+    return done.select("ingest_seq", "ts", "ts_ns")
+
+
+@register("SELECT ingest_seq, CASE lower(level) WHEN 'warning' THEN 'warn' ELSE lower(level) END AS severity FROM e")
+def pipeline_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.run_stages(tables.driver_events(spark, sf_dir), [stages.Stage("json", "json"), stages.Stage("severity", "severity", {"source": "level"})])
+    return done.select("ingest_seq", "severity")
+
+
+@register("SELECT ingest_seq, service FROM e WHERE service <> 'view' AND NOT contains('u' || user_id, '7')")
+def pipeline_filter_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [
+        stages.Stage("json", "json"), stages.Stage("views", "filter", {"field": "service", "value": "view"}),
+        stages.Stage("sevens", "drop", {"field": "user", "op": "contains", "value": "7"}),
+    ]
+    done = stages.run_stages(tables.driver_events(spark, sf_dir), steps)
+    return done.where("NOT dropped").select("ingest_seq", text.get("parsed_fields", "service").alias("service"))
+
+
+@register("SELECT 'json' AS stage, count(*) AS errors FROM e UNION ALL SELECT 'clicks', count(*) FROM e WHERE service = 'click'")
+def pipeline_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """logfmt bodies are no JSON; that error is ignored, and clicks are dropped."""
+    steps = [stages.Stage("json", "json", {"ignore_error": "true"}), stages.Stage("clicks", "filter", {"field": "service", "value": "click"})]
+    return stages.stage_stats(stages.run_stages(tables.driver_events_logfmt(spark, sf_dir), steps))
+
+
+_PROMOTED = "'env=' || env || '|host=' || host || '|service=' || service || '|severity=' || CASE lower(level) WHEN 'warning' THEN 'warn' ELSE lower(level) END || '|status_code=' || code"
+
+
+def _shown(m: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), F.element_at(m, k))), "|")
+
+
+def _default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [stages.Stage("json", "json", {"ignore_error": "true"}), stages.Stage("logfmt", "logfmt"), stages.Stage("severity", "severity", {"source": "level"})]
+    done = stages.run_stages(tables.driver_events(spark, sf_dir), steps)
+    return stages.promote(done, ["service", "env", "severity"], ["status_code", "user"], ["user"])
+
+
+@register(f"SELECT ingest_seq, {_PROMOTED.replace(chr(39) + '|host=' + chr(39) + ' || host || ', '')} AS labels FROM e")
+def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _default(spark, sf_dir).select("ingest_seq", _shown(F.col("stream_labels")).alias("labels"))
+
+
+@register("SELECT stream_key, severity, count(*) AS events FROM (SELECT 'tenant-' || (user_id % 3) || '|env=' || env || '|service=' || service || '|severity=' || (CASE lower(level) WHEN 'warning' THEN 'warn' ELSE lower(level) END) || '|status_code=' || code AS stream_key, CASE lower(level) WHEN 'warning' THEN 'warn' ELSE lower(level) END AS severity FROM e) GROUP BY 1, 2")
+def default_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _default(spark, sf_dir).withColumn("stream_key", text.stream_key("tenant_id", "stream_labels"))
+    return done.where("failed IS NULL AND NOT dropped").groupBy("stream_key", "severity").agg(F.count("*").alias("events"))
+
+
+@register("SELECT doc_id AS ingest_seq, CASE WHEN strlen(text) > 4096 THEN 'body_bytes' ELSE 'none' END AS broken FROM documents")
+def limits_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.coalesce(stages.violation(max_body=4096), F.lit("none"))
+    return tables.driver_documents(spark, sf_dir).select("ingest_seq", broken.alias("broken"))
+
+
+@register("SELECT doc_id AS ingest_seq FROM documents WHERE strlen(text) + 8 + 10 + strlen(lang) + strlen(source) > 4096 + 256")
+def admission_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenant (8 bytes), the label names (10) and values and the body against the body limit and 128 bytes a label."""
+    return tables.driver_documents(spark, sf_dir).where(lifecycle.over_budget(4096)).select("ingest_seq")
+
+
+@register("SELECT ingest_seq, e.tenant_id, coalesce(t.days, -1) AS retention_days FROM e LEFT JOIN (VALUES ('tenant-0', 10), ('tenant-1', 20)) t(tenant_id, days) ON e.tenant_id = t.tenant_id")
+def tenant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, unknown = lifecycle.with_tenant(tables.driver_events(spark, sf_dir), tables.tenants_table(spark))
+    return known.select("ingest_seq", "tenant_id", "retention_days").unionByName(unknown.select("ingest_seq", "tenant_id", F.lit(-1).alias("retention_days")))
+
+
+def _payload(spark: SparkSession, sf_dir: str, payload: Column) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir)
+    return e.select(F.lit(0).cast("long").alias("arrival"), payload.alias("payload"))
+
+
+@register("SELECT CAST(epoch_us(ts) AS BIGINT) * 1000 AS ts_ns, tenant_id, body, host AS resource_host, service AS attr_service, level AS severity FROM e")
+def otlp_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an OTLP request, read back."""
+    def attr(k: str, v: Column) -> Column:
+        return F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+
+    m = F.col("stream_labels")
+    level = F.regexp_extract("body", '"level":"([A-Za-z]+)"', 1)
+    record = F.struct(
+        F.col("ts_ns").cast("string").alias("timeUnixNano"), level.alias("severityText"), F.struct(F.col("body").alias("stringValue")).alias("body"),
+        F.array(attr("service", F.lit("first")), attr("service", m["service"])).alias("attributes"),
+    )
+    resource = F.struct(F.array(attr("tenant_id", F.col("tenant_id")), attr("host", F.col("resource_attrs")["host"])).alias("attributes"))
+    request = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    rows = payloads.read_otlp(_payload(spark, sf_dir, F.to_json(request)))
+    return rows.select("ts_ns", "tenant_id", "body", text.get("resource_attrs", "host").alias("resource_host"), text.get("log_attrs", "service").alias("attr_service"), "severity")
+
+
+@register("SELECT CAST(epoch_us(ts) AS BIGINT) * 1000 AS ts_ns, 'acme' AS tenant_id, body, env, 'm' || host AS metadata FROM e")
+def loki_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a push with a short entry, which is left out, read back."""
+    entry = F.array(F.col("ts_ns").cast("string"), F.col("body"), F.concat(F.lit("m"), F.col("resource_attrs")["host"]))
+    request = F.struct(F.array(F.struct(F.col("stream_labels").alias("stream"), F.array(entry, F.array(F.lit("1"))).alias("values"))).alias("streams"))
+    rows = payloads.read_loki(_payload(spark, sf_dir, F.to_json(request)), "acme")
+    return rows.select("ts_ns", "tenant_id", "body", text.get("stream_labels", "env").alias("env"), text.get("log_attrs", "metadata").alias("metadata"))
+
+
+@register("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d/%H') AS bucket, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1")
+def segment_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir).withColumn("bucket", text.bucket(F.col("ts")))
+    return e.groupBy("bucket").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@register("SELECT stream_key, chunk, count(*) AS event_count, CAST(sum(strlen(body) + strlen(tenant_id) + 10 + strlen(env) + strlen(service)) AS BIGINT) AS bytes, min(epoch_us(ts)) * 1000 AS min_ts_ns, max(epoch_us(ts)) * 1000 AS max_ts_ns FROM (SELECT *, (row_number() OVER (PARTITION BY stream_key ORDER BY ts, ingest_seq) - 1) // 100 AS chunk FROM e) GROUP BY 1, 2")
+def chunk_summary_count_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label names are 7 and 3 bytes."""
+    e = chunks.numbered(tables.driver_events(spark, sf_dir)).withColumn("chunk", F.floor(F.col("at") / 100))
+    return chunks.summaries(e, "stream_key", "chunk").select("stream_key", "chunk", "event_count", "bytes", "min_ts_ns", "max_ts_ns")
+
+
+@register()
+def chunk_builder_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = chunks.build_chunks(tables.driver_events(spark, sf_dir), 50, 4096, 600_000_000_000)
+    return built.groupBy("stream_key", "bucket", "chunk").agg(F.count("*").alias("event_count"))
+
+
+@register("SELECT stream_key, count(DISTINCT token) AS tokens FROM (SELECT stream_key, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS token FROM e) WHERE token <> '' GROUP BY 1")
+def tokens_per_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir)
+    rows = e.select(text.stream_key("tenant_id", "stream_labels").alias("stream_key"), F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("token"))
+    return rows.groupBy("stream_key").agg(F.countDistinct("token").alias("tokens"))
+
+
+@register()
+def bloom_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = chunks.numbered(tables.driver_events(spark, sf_dir)).withColumn("chunk", F.floor(F.col("at") / 20))
+    s = chunks.summaries(e, "stream_key", "chunk")
+    return s.select("stream_key", "chunk", chunks.may_contain("k42 error").alias("may"), F.array_contains("tokens", "k42").alias("has_k42"))
+
+
+@register(f"SELECT count(*) AS candidate_chunks, count(DISTINCT stream_key) AS candidate_streams, count(*) * 3 AS cost FROM (SELECT stream_key, strftime(ts, '%Y-%m-%d/%H') FROM e WHERE {_RANGE} AND env = 'prod' GROUP BY 1, 2)")
+def explain_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that a query touches, times one and its label and field conditions."""
+    q = _q(labels={"env": "prod"}, fields={"status_code": "500"})
+    e = tables.driver_events(spark, sf_dir).where(search.matches(_q(labels=q.labels)))
+    hit = e.select(text.stream_key("tenant_id", "stream_labels").alias("stream_key"), text.bucket(F.col("ts")).alias("bucket")).distinct()
+    return hit.agg(F.count("*").alias("candidate_chunks"), F.countDistinct("stream_key").alias("candidate_streams"), (F.count("*") * (1 + len(q.labels) + len(q.fields))).alias("cost"))
+
+
+@register()
+def queue_partition_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = lifecycle.enqueue(tables.driver_events(spark, sf_dir), "logs.normalized.v1")
+    commits = m.groupBy("topic", "partition").agg(F.floor(F.max("offset") * 0.75).alias("committed"))
+    return lifecycle.lag(m, commits)
+
+
+@register("SELECT topic, CAST(sum(high) AS BIGINT) AS high, CAST(sum(greatest(0, high - committed)) AS BIGINT) AS lag FROM (SELECT 'logs.' || service AS topic, env AS partition, count(*) AS high, count(*) - count(*) // 4 AS committed FROM e GROUP BY 1, 2) GROUP BY topic")
+def queue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir).select(F.concat(F.lit("logs."), text.get("stream_labels", "service")).alias("topic"), text.get("stream_labels", "env").alias("partition"), "ingest_seq")
+    n = e.groupBy("topic", "partition").agg(F.count("*").alias("n"))
+    m, commits = n.select("topic", "partition", (F.col("n") - 1).alias("offset")), n.select("topic", "partition", (F.col("n") - F.floor(F.col("n") / 4)).alias("committed"))
+    return lifecycle.lag(m, commits).groupBy("topic").agg(F.sum("high").alias("high"), F.sum("lag").alias("lag"))
+
+
+@register("SELECT \"to\", attempts, count(*) AS messages FROM (SELECT CASE WHEN service <> 'error' THEN 'done' WHEN user_id % 4 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS \"to\", CASE WHEN service <> 'error' THEN user_id % 4 ELSE user_id % 4 + 1 END AS attempts FROM e) GROUP BY 1, 2")
+def retry_dlq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir)
+    user = F.regexp_extract("body", '"user":"u([0-9]+)"', 1).cast("long")
+    m = e.select((text.get("stream_labels", "service") != "error").alias("ok"), (user % 4).alias("attempts"))
+    return lifecycle.after_failure(m).groupBy("to", "attempts").agg(F.count("*").alias("messages"))
+
+
+_MEMBERS = [("a", "ready"), ("b", "ready"), ("c", "ready"), ("d", "draining")]
+_PLACED = "SELECT key, member, CASE WHEN r = 1 THEN 'primary' ELSE 'replica' END AS role FROM (SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY sha256(key || '|' || member) DESC, member) AS r FROM (SELECT DISTINCT stream_key AS key FROM e), (VALUES ('a'), ('b'), ('c')) m(member)) WHERE r <= 2"
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = tables.driver_events(spark, sf_dir).select(text.stream_key("tenant_id", "stream_labels").alias("key")).distinct()
+    return placement.place(keys, _MEMBERS)
+
+
+@register(_PLACED)
+def rendezvous_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.assignments(_placed(spark, sf_dir))
+
+
+@register(f"SELECT member, count(*) FILTER (role = 'primary') AS primaries, count(*) FILTER (role = 'replica') AS replicas FROM ({_PLACED}) GROUP BY member")
+def rebalance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.balance(_placed(spark, sf_dir))
+
+
+@register(f"SELECT key, member, 'upsert' AS action FROM ({_PLACED}) WHERE role = 'replica' UNION ALL SELECT DISTINCT stream_key, 'gone', 'delete' FROM e")
+def placement_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = placement.assignments(_placed(spark, sf_dir))
+    current = rows.where("role = 'primary'").select("key", "member").unionByName(rows.select("key", F.lit("gone").alias("member")).distinct())
+    return placement.reconcile(rows, current)
+
+
+_SEGMENTS = "SELECT tenant_id, strftime(date_trunc('hour', ts), '%Y-%m-%d/%H') AS bucket, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ends, count(DISTINCT stream_key) AS chunks FROM e GROUP BY 1, 2, 3"
+
+
+def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.driver_events(spark, sf_dir).withColumns({"stream_key": text.stream_key("tenant_id", "stream_labels"), "bucket": text.bucket(F.col("ts")), "ends": (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz")})
+    segments = e.groupBy("tenant_id", "bucket", "ends").agg(F.countDistinct("stream_key").alias("chunks"))
+    return lifecycle.retention(segments, tables.tenants_table(spark), F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'"))
+
+
+_DECIDED = f"SELECT s.tenant_id, bucket, chunks, s.tenant_id <> 'tenant-1' AND ends < TIMESTAMP '2024-01-31 00:00:00' - CASE s.tenant_id WHEN 'tenant-0' THEN INTERVAL 10 DAY ELSE INTERVAL 7 DAY END AS expired FROM ({_SEGMENTS}) s"
+
+
+@register(_DECIDED)
+def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retention(spark, sf_dir).select("tenant_id", "bucket", "chunks", "expired")
+
+
+@register(f"SELECT tenant_id, count(*) AS scanned, count(*) FILTER (expired) AS deleted_segments, CAST(coalesce(sum(chunks) FILTER (expired), 0) AS BIGINT) AS deleted_chunks FROM ({_DECIDED}) GROUP BY 1")
+def retention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.retention_report(_retention(spark, sf_dir))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    error = F.col("event_type") == "error"
+    return e.select(F.lit("POST").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), F.when(error, 500).otherwise(200).alias("status"), (F.col("value") / 100).alias("seconds"), "ts")
+
+
+@register("SELECT 'POST' AS method, '/' || service AS path, CAST(code AS INTEGER) AS status, count(*) AS requests FROM e GROUP BY 1, 2, 3")
+def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.request_counts(_requests(spark, sf_dir))
+
+
+@register("SELECT '/' || service AS path, le, count(*) FILTER (value / 100 <= b) AS cumulative FROM e, (VALUES ('0.005', 0.005::DOUBLE), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.0', 2.0), ('5.0', 5.0), ('+Inf', 1e300)) v(le, b) GROUP BY 1, 2")
+def http_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.latency_histogram(_requests(spark, sf_dir), "path")
+
+
+@register()
+def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = F.array(*[F.count_if(F.col("seconds") <= b) for b in telemetry.BOUNDS], F.count("*"))
+    rows = _requests(spark, sf_dir).groupBy("path").agg(counts.alias("n"))
+    return rows.select("path", telemetry.histogram_quantile(0.95, F.col("n")).alias("p95"))
+
+
+@register("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests, count(*) FILTER (service = 'error') AS errors, count(*) FILTER (service = 'error') / count(*) AS ratio FROM e GROUP BY 1")
+def error_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.error_ratio(_requests(spark, sf_dir))
