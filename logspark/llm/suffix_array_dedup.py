@@ -199,8 +199,10 @@ def _shard_results(texts: DataFrame, length: int) -> DataFrame:
         start = (ats[text] >> 32) + offset
         order = np.lexsort((start, ids[text], cls))
         cls, text, offset, start = cls[order], text[order], offset[order], start[order]
-        later = np.zeros(len(cls), bool)
-        later[1:] = cls[1:] == cls[:-1]
+        opens = np.ones(len(cls), bool)
+        opens[1:] = cls[1:] != cls[:-1]
+        head = np.maximum.accumulate(np.where(opens, np.arange(len(cls)), 0))
+        later = (ids[text] != ids[text[head]]) | (start != start[head])  # a repeated row's windows are the same ones
         gone = np.lexsort((offset[later], text[later]))
         text, offset, start = text[later][gone], offset[later][gone], start[later][gone]
         new = np.ones(len(text), bool)
