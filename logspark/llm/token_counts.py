@@ -78,7 +78,7 @@ def common_pre_tokens(docs: DataFrame, path: str, most: int, sample: int) -> dic
 
 
 def token_counts(
-    docs: DataFrame, model_path: str, limit: int = 4096, common: int = 100_000, sample: int = 10_000
+    docs: DataFrame, model_path: str, limit: int = 4096, common: int = 200_000, sample: int = 20_000
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id long, n_bytes long, n_tokens long, over_limit boolean, a row for each row.
 
