@@ -34,7 +34,9 @@ def _fields(entries: Column, ok: Column) -> Made:
 
 def _json(_: dict) -> Made:
     """Every key of the body, which must be one JSON object, becomes a field; nested values stay JSON text."""
-    value = F.try_parse_json(F.col("body"))
+    # In brackets anything after the first value shows: as bad JSON, or as a second element.
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    value = F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
     kind = F.schema_of_variant(value)
     is_object, is_null = F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.coalesce(kind == "VOID", F.lit(False))
     values = F.when(is_object, value).cast("map<string,variant>")
