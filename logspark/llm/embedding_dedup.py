@@ -122,18 +122,24 @@ def dual_traversal(x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray,
             np.maximum.at(radius, index, np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", v, v[level]), 0)))
             own.append((centers, index, radius))
         nodes.append(own)
-    alive = None
-    for level in range(len(tx)):
+    # Only levels that join rows together are worth a visit; the finest always is.
+    last = len(tx) - 1
+    visit = [k for k in range(last) if 4 * len(nodes[0][k][0]) * len(nodes[1][k][0]) <= len(nodes[0][last][0]) * len(nodes[1][last][0])]
+    alive, before = None, None
+    for level in [*visit, last]:
         (ca, ia, ra), (cb, ib, rb) = nodes[0][level], nodes[1][level]
-        near = _distance(x[ca], y[cb]) <= ra[:, None] + rb[None, :] + reach
-        if alive is not None:  # a node's rows lie in several coarser nodes: it lives if any pair of those does
-            pa_, pb_ = (sorted_pairs(nodes[s][level - 1][1], nodes[s][level][1]) for s in (0, 1))
-            up = np.zeros((len(ca), alive.shape[1]), bool)
-            np.logical_or.at(up, pa_[1], alive[pa_[0]])
-            down = np.zeros((len(ca), len(cb)), bool)
-            np.logical_or.at(down.T, pb_[1], up.T[pb_[0]])
-            near &= down
-        alive = near
+        # No pair is nearer than the largest radii allow: a first look at cosines alone, then each pair's own bound.
+        widest = min(ra.max() + rb.max() + reach, 2.0)
+        i, j = np.nonzero(x[ca] @ y[cb].T >= 1 - widest**2 / 2 - 1e-12)
+        near = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x[ca[i]], y[cb[j]]), 0)) <= ra[i] + rb[j] + reach
+        i, j = i[near], j[near]
+        if alive is not None:  # a node's rows may lie in several coarser ones: it lives if a pair of those does
+            up = [_shares(nodes[s][before][1], nodes[s][level][1]) for s in (0, 1)]
+            live = ((up[0] @ alive @ up[1].T)[i, j]) > 0
+            i, j = i[live], j[live]
+        alive, before = np.zeros((len(ca), len(cb)), np.float32), level
+        alive[i, j] = 1
+    alive = alive > 0
     (ca, ia, _), (cb, ib, _) = nodes[0][-1], nodes[1][-1]
     rows_a, rows_b = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
     from_a, from_b = np.searchsorted(ia[rows_a], np.arange(len(ca) + 1)), np.searchsorted(ib[rows_b], np.arange(len(cb) + 1))
@@ -154,10 +160,11 @@ def dual_traversal(x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray,
         yield a, b
 
 
-def sorted_pairs(coarse: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a coarse and a fine node that share a row."""
-    pairs = np.unique(np.stack([coarse, fine]), axis=1)
-    return pairs[0], pairs[1]
+def _shares(coarse: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Which fine node has a row in which coarse node, as a matrix of 0 and 1."""
+    out = np.zeros((fine.max() + 1, coarse.max() + 1), np.float32)
+    out[fine, coarse] = 1
+    return out
 
 
 def embedding_links(units: DataFrame, cosine: float = 0.95, per_cell: int = 2000) -> DataFrame:
