@@ -35,6 +35,26 @@ def lag(messages: DataFrame, commits: DataFrame) -> DataFrame:
     return joined.withColumn("lag", F.greatest(F.lit(0), F.col("high") - F.col("committed")))
 
 
+def poll(messages: DataFrame, commits: DataFrame, limit: int = 100) -> DataFrame:
+    """The oldest messages from each partition's committed offset on, in order of arrival and offset."""
+    done = commits.groupBy("topic", "partition").agg(F.max("committed").alias("committed"))
+    waiting = messages.join(done, ["topic", "partition"], "left").where("offset >= coalesce(committed, 0)").drop("committed")
+    return waiting.orderBy("ingest_seq", "partition", "offset").limit(limit)
+
+
+def replay(messages: DataFrame, limit: int = 0) -> DataFrame:
+    """Messages from the first on; commits are not looked at."""
+    rows = messages.orderBy("ingest_seq", "partition", "offset")
+    return rows.limit(limit) if limit else rows
+
+
+def committed(polled: DataFrame, commits: DataFrame) -> DataFrame:
+    """Commits after these messages are handled: one more than the highest offset, never less than before."""
+    new = polled.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("committed"))
+    both = commits.select("topic", "partition", "committed").unionByName(new)
+    return both.groupBy("topic", "partition").agg(F.max("committed").alias("committed"))
+
+
 def after_failure(messages: DataFrame, max_attempts: int = 3) -> DataFrame:
     """messages with `ok` and `attempts` -> with `to`: done, retry, or the dead letters after max_attempts failures."""
     tried = F.when(F.col("ok"), F.col("attempts")).otherwise(F.col("attempts") + 1)

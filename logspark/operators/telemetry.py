@@ -40,3 +40,24 @@ def error_ratio(requests: DataFrame, span: str = "5 minutes") -> DataFrame:
         F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors")
     )
     return rows.withColumn("ratio", F.col("errors") / F.col("requests"))
+
+
+def exposition(requests: DataFrame) -> DataFrame:
+    """Counters and histograms as lines of Prometheus' text format."""
+    by = ["method", "path", "status"]
+    label = lambda *more: F.concat(*[p for k in by for p in (F.lit(f'{k}="'), F.col(k).cast("string"), F.lit('",' if k != by[-1] or more else '"'))], *more)
+    line = lambda name, labels, value: F.concat(F.lit(name + "{"), labels, F.lit("} "), value.cast("string")).alias("line")
+    counts = request_counts(requests).select(line("http_requests_total", label(), F.col("requests")))
+    buckets = latency_histogram(requests, *by).select(line("http_request_duration_seconds_bucket", label(F.lit('le="'), F.col("le"), F.lit('"')), F.col("cumulative")))
+    return counts.unionByName(buckets)
+
+
+def alerts(requests: DataFrame, lags: DataFrame, compacted_seconds_ago: float) -> DataFrame:
+    """alert, value, firing: error ratio over 5 %, 95th percentile over 3 s, lag over 1000, compaction over 1800 s ago."""
+    counts = F.array(*[F.count_if(F.col("seconds") <= b) for b in BOUNDS], F.count("*"))
+    one = requests.agg((F.count_if(F.col("status") >= 500) / F.count("*")).alias("errors"), counts.alias("n")).select("errors", histogram_quantile(0.95, F.col("n")).alias("p95"))
+    worst = lags.agg(F.max("lag").cast("double").alias("lag"))
+    rows = one.select(F.explode(F.array(F.struct(F.lit("errors").alias("alert"), F.col("errors").alias("value"), F.lit(0.05).alias("over")), F.struct(F.lit("latency").alias("alert"), F.col("p95").alias("value"), F.lit(3.0).alias("over")))).alias("a")).select("a.*")
+    rows = rows.unionByName(worst.select(F.lit("lag").alias("alert"), F.col("lag").alias("value"), F.lit(1000.0).alias("over")))
+    rows = rows.unionByName(worst.select(F.lit("compaction").alias("alert"), F.lit(float(compacted_seconds_ago)).alias("value"), F.lit(1800.0).alias("over")))
+    return rows.select("alert", "value", (F.col("value") > F.col("over")).alias("firing"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunks, lifecycle, placement, search, stages, telemetry
+from ..operators import chunks, lifecycle, placement, quota, search, stages, telemetry
 from ..sources import payloads, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,6 +319,42 @@ def queue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lag(m, commits).groupBy("topic").agg(F.sum("high").alias("high"), F.sum("lag").alias("lag"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition for each kind of event, offsets in order of arrival."""
+    e = tables.driver_events(spark, sf_dir)
+    m = e.select(F.lit("logs").alias("topic"), text.get("stream_labels", "service").alias("partition"), "ingest_seq", F.floor(F.col("ingest_seq") / 1000).alias("part"))
+    sums = m.groupBy("partition", "part").agg(F.count("*").alias("n")).withColumn("lower", F.expr("coalesce(sum(n) OVER (PARTITION BY partition ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    return m.join(sums, ["partition", "part"]).select("topic", "partition", "ingest_seq", (F.expr("row_number() OVER (PARTITION BY partition, part ORDER BY ingest_seq)") - 1 + F.col("lower")).cast("long").alias("offset"))
+
+
+_MESSAGES = "SELECT 'logs' AS topic, service AS partition, ingest_seq, row_number() OVER (PARTITION BY service ORDER BY ingest_seq) - 1 AS \"offset\" FROM e"
+
+
+@register(f"SELECT * FROM ({_MESSAGES}) WHERE \"offset\" >= CASE partition WHEN 'view' THEN 10 WHEN 'click' THEN 20 ELSE 0 END ORDER BY ingest_seq LIMIT 100")
+def queue_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = spark.createDataFrame([("logs", "view", 10), ("logs", "click", 5), ("logs", "click", 20)], "topic string, partition string, committed long")
+    return lifecycle.poll(_messages(spark, sf_dir), commits)
+
+
+@register(f"SELECT * FROM ({_MESSAGES}) ORDER BY ingest_seq LIMIT 250")
+def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.replay(_messages(spark, sf_dir), 250)
+
+
+@register("SELECT 'logs' AS topic, service AS partition, count(*) AS committed FROM e GROUP BY service UNION ALL SELECT 'logs', 'other', 3")
+def queue_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = spark.createDataFrame([("logs", "view", 10), ("logs", "other", 3)], "topic string, partition string, committed long")
+    return lifecycle.committed(_messages(spark, sf_dir), commits)
+
+
+@register()
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a few MiB against limits of 1 and 2 MiB a second."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    r = e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("tenant-"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 10).alias("at_ns"), (F.col("value") * 10000).cast("long").alias("bytes"), (F.col("user_id") % 3).cast("int").alias("limit_mb"))
+    return quota.admit(r)
+
+
 @register("SELECT \"to\", attempts, count(*) AS messages FROM (SELECT CASE WHEN service <> 'error' THEN 'done' WHEN user_id % 4 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS \"to\", CASE WHEN service <> 'error' THEN user_id % 4 ELSE user_id % 4 + 1 END AS attempts FROM e) GROUP BY 1, 2")
 def retry_dlq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.driver_events(spark, sf_dir)
@@ -401,3 +437,14 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests, count(*) FILTER (service = 'error') AS errors, count(*) FILTER (service = 'error') / count(*) AS ratio FROM e GROUP BY 1")
 def error_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.error_ratio(_requests(spark, sf_dir))
+
+
+@register("SELECT 'http_requests_total{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\"} ' || count(*) AS line FROM e GROUP BY service, code UNION ALL SELECT 'http_request_duration_seconds_bucket{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\",le=\"' || le || '\"} ' || count(*) FILTER (value / 100 <= b) FROM e, (VALUES ('0.005', 0.005::DOUBLE), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.0', 2.0), ('5.0', 5.0), ('+Inf', 1e300)) v(le, b) GROUP BY service, code, le")
+def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.exposition(_requests(spark, sf_dir))
+
+
+@register()
+def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    return telemetry.alerts(_requests(spark, sf_dir), lifecycle.lag(m, m.select("topic", "partition", F.lit(5).alias("committed")).distinct()), 1200)

@@ -3,7 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators import chunks, lifecycle, placement, search, telemetry
+from logspark.operators import chunks, lifecycle, placement, quota, search, telemetry, tenants
+from logspark.operators.stages import Stage
 from logspark.schema import canonical
 
 SCHEMA = "ingest_seq long, ts_ns long, tenant_id string, body string, stream_labels map<string,string>, parsed_fields map<string,string>, resource_attrs map<string,string>, tier byte"
@@ -121,3 +122,30 @@ def test_telemetry(spark):
     q = df.agg(F.array(*[F.count_if(F.col("seconds") <= b) for b in telemetry.BOUNDS], F.count("*")).alias("n"))
     assert q.select(telemetry.histogram_quantile(0.5, F.col("n"))).first()[0] == pytest.approx(0.1 + 0.15 * 1.5 / 2)
     assert q.select(telemetry.histogram_quantile(0.95, F.col("n"))).first()[0] == 5.0
+
+
+def test_poll_commit_replay(three, spark):
+    m = lifecycle.enqueue(three, "topic")
+    none = spark.createDataFrame([], "topic string, partition int, committed long")
+    first = lifecycle.poll(m, none, 2)
+    done = lifecycle.committed(first, none)
+    assert [r.offset for r in first.collect()] == [0, 1] and [r.committed for r in done.collect()] == [2]
+    assert [r.offset for r in lifecycle.poll(m, done).collect()] == [2] and lifecycle.replay(m).count() == 3
+    assert [r.committed for r in lifecycle.committed(first, done.withColumn("committed", F.lit(9).cast("long"))).collect()] == [9]
+
+
+def test_rate_limit(spark):
+    mb = quota.MEBIBYTE
+    rows = [(1, "a", 0, 2 * mb, 1), (2, "a", 0, 1, 1), (3, "a", 10**9, mb, 1), (4, "a", 10**9, mb // 2, 1), (5, "b", 0, 200 * mb, None), (6, "c", 0, mb, 0)]
+    df = spark.createDataFrame(rows, "request_id long, tenant_id string, at_ns long, bytes long, limit_mb int")
+    got = {r.request_id: (r.admitted, r.retry_after_ms) for r in quota.admit(df).collect()}
+    assert got == {1: (True, 0), 2: (False, 1), 3: (True, 0), 4: (False, 500), 5: (False, 2000), 6: (True, 0)}
+
+
+def test_tenants(spark):
+    t = tenants.Tenant("a", searchable=("service", "status_code"), pipelines={"p": [Stage("j", "json")]}, active="p")
+    assert tenants.changed(t, searchable=["service"]).version == 2
+    for bad in ({"searchable": ["host"]}, {"searchable": ["service", "service"]}, {"searchable": [" "]}, {"max_body": -1}, {"active": "q"}, {"pipelines": {"p": [Stage("x", "unknown")]}}):
+        with pytest.raises(ValueError):
+            tenants.changed(t, **bad)
+    assert tenants.table(spark, [t]).first().retention_days == 7
