@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .best_fit_packing import pack_documents
 from .common import table
 from .embedding_dedup import embedding_components
@@ -51,7 +52,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents")).withColumn("shards", F.array_join("shards", ","))
 
 
 @query
@@ -123,3 +124,10 @@ SELECT *, by_host OR by_domain OR by_place AS blocked FROM m
 @query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op2_substring_dedup"] = sql.SUBSTRINGS
+SQL["op5_suffix_array_dedup"] = sql.BYTES
+SQL["op6_quality_rules"] = sql.quality()
+SQL["op9_embedding_near_dedup"] = sql.EMBEDDINGS
+SQL["op10_source_mixing"] = sql.mixing()
