@@ -19,12 +19,12 @@ _SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
 
 #: Measures, as whole numbers, and what a fence lies beyond 3 interquartile ranges: measures that are nearly always
-#: 0 have no range, and a clean text may still hold a symbol, a repeated line or a repeated phrase.
+#: 0 have no range, and a clean text may still hold a symbol or a repeated line, which is a third of a short one.
 MEASURES: dict[str, tuple[str, int]] = {
     "mean_length": ("100 * word_chars DIV n_words", 20),
     "symbols": ("1000 * n_symbols DIV n_words", 50),
     "dup_lines": ("1000 * n_dup_lines DIV n_words", 100),
-    "repeats": ("1000 * n_repeat_words DIV n_words", 200),
+    "repeats": ("1000 * n_repeat_words DIV n_words", 350),
 }
 RANGES = 3
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
