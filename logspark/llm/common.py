@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,7 +42,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     What a lost executor had computed before this point is never needed again."""
     path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empties tables of materialise() that nothing reads any more, so that their space can be used again."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs, whose results are tables by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def trimmed(text: Column) -> Column:

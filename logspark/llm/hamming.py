@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _signed(mask: int) -> int:
@@ -15,7 +15,7 @@ def _signed(mask: int) -> int:
 
 
 def hamming_links(fps: DataFrame, radius: int, masks_over: Callable[[list[int], int], list[int]], most: int = 64) -> DataFrame:
-    """fps (fp long, distinct) -> a long, b long: all pairs that differ in at most `radius` bits, a < b.
+    """fps (fp long, distinct) -> a long, b long as a table: all pairs that differ in at most `radius` bits, a < b.
 
     Fingerprints that agree under a mask form a bucket. A bucket of up to `most` is compared pair by pair. A larger
     one is hashed again under masks over the bits that its own mask left out, which again covers every pair, until
@@ -35,17 +35,21 @@ def hamming_links(fps: DataFrame, radius: int, masks_over: Callable[[list[int],
             options = F.element_at(lists, F.col("mask"))
         return rows.select("fp", F.explode(options).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
-    agreed, rows, pairs = [0], fps.select("fp"), None
+    agreed, rows, pairs, read = [0], fps.select("fp"), None, []
     while True:
-        rows = keyed(rows, agreed, None if agreed == [0] else "mask").distinct()
+        rows = keyed(rows, agreed, None) if agreed == [0] else keyed(rows, agreed, "mask").distinct()
         agreed = sorted({have | m for have in agreed for m in masks_over([i for i in range(64) if not have >> i & 1], radius)})
         last = 64 - min(bin(m).count("1") for m in agreed) <= most.bit_length() - 1
-        sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        rows = materialise(rows.join(sizes, ["mask", "key"]), "buckets")
+        # A bucket's fingerprints differ only in the bits that its mask leaves out, so no task can get a large part.
+        size = F.count("*").over(Window.partitionBy("mask", "key"))
+        rows = materialise(rows.withColumn("n", size).where("n > 1"), "buckets")
+        read.append(rows)
         small = rows if last else rows.where(F.col("n") <= most)
         x, y = small.select("mask", "key", F.col("fp").alias("a")), small.select("mask", "key", F.col("fp").alias("b"))
         near = x.join(y, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
         pairs = near if pairs is None else pairs.unionByName(near)
         rows = rows.where(F.col("n") > most).select("fp", "mask")
         if last or rows.isEmpty():
-            return pairs.distinct()
+            found = materialise(pairs.distinct(), "near")
+            discard(*read)
+            return found

@@ -6,7 +6,6 @@ a document has about 2 / (length - k + 2) runs for each unit. Only runs whose an
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,10 +14,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
+from .common import materialise, release, slices, text_bytes
 
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
@@ -38,12 +37,6 @@ def pack(start: int, more: int, mark: int) -> int:
     return start << 32 | more << 24 | mark
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs, whose results are tables by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(32))

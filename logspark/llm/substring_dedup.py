@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
-from .repeats import Words, apply_removals, pack, release, repeated_runs, run_keys, tag, with_text
+from .common import materialise, release, slices, text_bytes
+from .repeats import Words, apply_removals, pack, repeated_runs, run_keys, tag, with_text
 
 
 def _branch_windows(docs: DataFrame, keys: DataFrame, unit: Words) -> DataFrame:

@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
-from .repeats import Bytes, apply_removals, release, repeated_runs, run_keys, tag, with_text
+from .common import materialise, release, slices, text_bytes
+from .repeats import Bytes, apply_removals, repeated_runs, run_keys, tag, with_text
 
 #: A group of runs at one anchor beyond this is split by a hash; windows that its parts keep are then compared by key.
 GROUP = 2000
