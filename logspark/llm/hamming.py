@@ -41,14 +41,15 @@ def hamming_links(fps: DataFrame, radius: int, masks_over: Callable[[list[int],
         agreed = sorted({have | m for have in agreed for m in masks_over([i for i in range(64) if not have >> i & 1], radius)})
         last = 64 - min(bin(m).count("1") for m in agreed) <= most.bit_length() - 1
         # A bucket's fingerprints differ only in the bits that its mask leaves out, so no task can get a large part.
-        size = F.count("*").over(Window.partitionBy("mask", "key"))
-        rows = materialise(rows.withColumn("n", size).where("n > 1"), "buckets")
-        read.append(rows)
-        small = rows if last else rows.where(F.col("n") <= most)
+        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("mask", "key")))
+        # Both sides of the join come from the one shuffle that the counts need.
+        small = rows.where("n > 1") if last else rows.where(F.col("n").between(2, most))
         x, y = small.select("mask", "key", F.col("fp").alias("a")), small.select("mask", "key", F.col("fp").alias("b"))
         near = x.join(y, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
         pairs = near if pairs is None else pairs.unionByName(near)
-        rows = rows.where(F.col("n") > most).select("fp", "mask")
+        if not last:
+            rows = materialise(rows.where(F.col("n") > most).select("fp", "mask"), "large-buckets")
+            read.append(rows)
         if last or rows.isEmpty():
             found = materialise(pairs.distinct(), "near")
             discard(*read)
