@@ -3,7 +3,7 @@
 Token k-mers chosen by the smallest hash in each window are the nodes; a run of windows around one is an edge, named
 by its words. A repeated node with one edge is a path without branches: all its windows repeat together, and one
 comparison of documents by Spark joins decides them. Where a node has several edges, those edges' windows are read
-back from their first source coordinates and compared by 128 bits of the words themselves."""
+back from the first document of each edge, all times it has it, and compared by 128 bits of the words themselves."""
 
 from __future__ import annotations
 
@@ -18,9 +18,13 @@ from .common import materialise, release, slices, text_bytes
 from .repeats import Words, apply_removals, pack, repeated_runs, run_keys, tag, with_text
 
 
-def _branch_windows(docs: DataFrame, keys: DataFrame, unit: Words) -> DataFrame:
-    """The windows of all edges at branching nodes: w1 long, w2 long (128 bits of their words), id long, at long."""
-    listed = keys.where("keys > 1").select("first.id", "first.at").groupBy("id").agg(F.collect_list("at").alias("items"))
+def _branch_windows(docs: DataFrame, runs: DataFrame, keys: DataFrame, unit: Words) -> DataFrame:
+    """The windows of all edges at branching nodes: w1 long, w2 long (128 bits of their words), id long, at long.
+
+    An edge is read in its first document alone, but there each time that it occurs: what another edge of the node
+    removes of it goes from all of them."""
+    branching = keys.where("keys > 1").select("anchor", "around", F.col("first.id").alias("id"))
+    listed = runs.join(branching, ["anchor", "around", "id"]).groupBy("id").agg(F.collect_list("at").alias("items"))
     length = unit.length
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +53,7 @@ def repeated_word_spans(docs: DataFrame, length: int = 50, k: int = 8) -> DataFr
     keys = run_keys(runs)
     release(spark)
     compacted = runs.join(keys.select("anchor", "around", F.col("first.id").alias("first")), ["anchor", "around"]).where("id > first").select("id", "at")
-    windows = materialise(_branch_windows(docs, keys, unit), "branch-windows")
+    windows = materialise(_branch_windows(docs, runs, keys, unit), "branch-windows")
     release(spark)
     shared = materialise(windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "shared-windows")
     single = windows.join(shared, ["w1", "w2"]).where("id > first").select("id", "at")

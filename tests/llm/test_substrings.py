@@ -36,6 +36,15 @@ def test_very_long_text(spark, by_bytes):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, by_bytes)
 
 
+@pytest.mark.parametrize("words", [60, 130])
+def test_block_that_a_document_repeats(spark, words):
+    """The second P A Q of a document is the same edge as its first; A is in an earlier document."""
+    rng = random.Random(7)
+    p, a, q = (" ".join(f"r{rng.randrange(10**6)}" for _ in range(n)) for n in (55, words, 55))
+    rows = [(1, a), (2, " ".join([p, a, q, p, a, q])), (3, f"{q} {p}")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, False)
+
+
 @pytest.mark.parametrize("by_bytes", [False, True])
 def test_no_documents(no_docs, by_bytes):
     assert (remove_repeated_bytes if by_bytes else remove_repeated_words)(no_docs).collect() == []
