@@ -108,6 +108,14 @@ def test_lines(spark, odd_docs, odd_rows, no_docs):
     assert len(odd) == len(odd_rows) and sum(r.text is None for r in odd) == sum(r[1] is None for r in odd_rows)
 
 
+def test_lines_of_texts_with_one_doc_id(spark):
+    """Only the rows that hold the copied line lose a line; others with no doc_id, or the same, keep theirs."""
+    copied, own, other = ("the gate was seen open again", "nobody else wrote this sentence here", "quite different words stand in it")
+    rows = [(1, copied), (2, f"x\n{copied}"), (2, f"x\n{own}"), (None, copied), (None, other)]
+    got = Counter((r.doc_id, r.text) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, copied), (2, "x"), (2, f"x\n{own}"), (None, ""), (None, other)])
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 8))
