@@ -116,6 +116,17 @@ def test_lines_of_texts_with_one_doc_id(spark):
     assert got == Counter([(1, copied), (2, "x"), (2, f"x\n{own}"), (None, ""), (None, other)])
 
 
+def test_lines_linked_by_one_that_a_pivot_holds(spark):
+    """One fingerprint: the middle line is like both ends, which aren't alike, and whichever is the pivot."""
+    rows = []
+    for k in range(6):
+        first = [f"{'abcdef'[k]}{c}{c}" for c in "qrstuvwxyz"]
+        middle = [*first[1:5], first[0], *first[5:]]
+        rows += [(len(rows) + d, " ".join(w)) for d, w in enumerate((first, middle, [*middle[:5], *middle[6:], middle[5]]))]
+    got = {r.id for r in removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows if i % 3}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 8))
