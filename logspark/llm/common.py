@@ -19,6 +19,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 _own_folder: list[str] = []
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or where it names none (tests, local mode) a temporary one of this driver."""
+    """One folder for each application in the shared folder that the cluster names in spark.checkpoint.dir.
+
+    In local mode, where driver and executors are one process, a temporary folder will do if that is unset; on a
+    cluster it has to be set, as executors don't see each other's disks."""
+    context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return shared
+        return f"{shared.rstrip('/')}/corpus-{context.applicationId}"
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: the corpus operators need a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="corpus-scratch-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -44,17 +51,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    _made.append(path)
     return table
 
 
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        of = spark._jvm.org.apache.hadoop.fs.Path(path)
+        of.getFileSystem(spark._jsc.hadoopConfiguration()).delete(of, True)
+        _made.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Empties tables of materialise() that nothing reads any more, so that their space can be used again."""
+    """Deletes tables of materialise() that nothing reads any more."""
     for t in tables:
-        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.scratch_path)
+        _delete(t.sparkSession, [t.scratch_path])
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes all scratch tables, or those made after the first `since`, once what reads them has been written.
+
+    Operators return plans over their scratch tables, so only who writes a result knows when they may go."""
+    _delete(spark, [p for p in _made[since:] if keep is None or p != keep.scratch_path])
+
+
+def scratch_tables() -> int:
+    """How many there are."""
+    return len(_made)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs, whose results are tables by now."""
+    """Lets Spark drop the shuffle files of finished jobs, whose results are tables by now.
+
+    Spark deletes them once the driver's garbage collector finds that nothing refers to them, which a driver with
+    little else to do may not do for an hour: a job of several large shuffles would hold all of them on disk."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from itertools import combinations
+from math import comb, log2
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,43 +15,52 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def hamming_links(fps: DataFrame, radius: int, masks_over: Callable[[list[int], int], list[int]], most: int = 64) -> DataFrame:
+def block_masks(radius: int, blocks: int, bits: int = 64) -> list[int]:
+    """Pigeonhole: of `blocks` blocks of bits `radius` differing bits leave all but `radius` alone. A mask for each
+    choice of those that are left."""
+    own = [sum(1 << b for b in range(bits)[i::blocks]) for i in range(blocks)]
+    return [sum(left) for left in combinations(own, blocks - radius)]
+
+
+def block_families(radius: int, n: int, spare: int = 4) -> list[list[int]]:
+    """Families of block masks for n fingerprints. The first has masks of at least log2(n) + `spare` bits, so that
+    fingerprints that aren't near ones rarely share a bucket, whatever n is; each further one leaves out at most half
+    as many bits as the one before, down to 4 * (radius + 1) blocks."""
+    families, left = [], min(39, 64 - log2(max(n, 1)) - spare)
+    last = 4 * (radius + 1)
+    for blocks in range(radius + 2, last + 1):
+        out = max(64 - m.bit_count() for m in block_masks(radius, blocks)[:: max(1, comb(blocks, radius) - 1)])
+        if out <= left or blocks == last:
+            families.append(block_masks(radius, blocks))
+            left = out / 2
+    return families
+
+
+def hamming_links(fps: DataFrame, radius: int, families: list[list[int]], most: int = 256) -> DataFrame:
     """fps (fp long, distinct) -> a long, b long as a table: all pairs that differ in at most `radius` bits, a < b.
 
-    Fingerprints that agree under a mask form a bucket. A bucket of up to `most` is compared pair by pair. A larger
-    one is hashed again under masks over the bits that its own mask left out, which again covers every pair, until
-    few bits are left; then a bucket can't hold more than 2^bits. So no bucket is capped and none is compared whole
-    when it is large."""
-
-    def keyed(rows: DataFrame, agreed: list[int], parent: str | None) -> DataFrame:
-        """A row for each mask of each row; `mask` is all bits that a bucket's fingerprints agree in."""
-        masks = {}
-        for have in agreed:
-            left = [i for i in range(64) if not have >> i & 1]
-            masks[have] = [_signed(have | m) for m in masks_over(left, radius)]
-        if parent is None:
-            options = F.array(*[F.lit(m) for m in masks[0]])
-        else:
-            lists = F.create_map(*[x for have, own in masks.items() for x in (F.lit(_signed(have)), F.array(*[F.lit(m) for m in own]))])
-            options = F.element_at(lists, F.col("mask"))
-        return rows.select("fp", F.explode(options).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-
-    agreed, rows, pairs, read = [0], fps.select("fp"), None, []
-    while True:
-        rows = keyed(rows, agreed, None) if agreed == [0] else keyed(rows, agreed, "mask").distinct()
-        agreed = sorted({have | m for have in agreed for m in masks_over([i for i in range(64) if not have >> i & 1], radius)})
-        last = 64 - min(bin(m).count("1") for m in agreed) <= most.bit_length() - 1
-        # A bucket's fingerprints differ only in the bits that its mask leaves out, so no task can get a large part.
-        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("mask", "key")))
+    Each family of masks covers every pair: two fingerprints within the radius agree under at least one of its masks.
+    Fingerprints that agree under a mask form a bucket. Buckets of up to `most` are compared pair by pair. Those in
+    larger ones, which are clusters of near fingerprints, are put into the buckets of the next family, whose masks
+    are longer. The last family's buckets are compared whole: they hold at most 2^(bits that its masks leave out).
+    So no bucket is capped. Repeated pairs come once; no fingerprints give no pairs."""
+    rows, pairs, read = fps.select("fp"), None, []
+    for level, masks in enumerate(families):
+        last = level + 1 == len(families)
+        rows = rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+        # One number for mask and agreed bits; numbers that meet by chance only cost a comparison.
+        rows = rows.select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key")))
         # Both sides of the join come from the one shuffle that the counts need.
         small = rows.where("n > 1") if last else rows.where(F.col("n").between(2, most))
-        x, y = small.select("mask", "key", F.col("fp").alias("a")), small.select("mask", "key", F.col("fp").alias("b"))
-        near = x.join(y, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+        x, y = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
+        near = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
         pairs = near if pairs is None else pairs.unionByName(near)
         if not last:
-            rows = materialise(rows.where(F.col("n") > most).select("fp", "mask"), "large-buckets")
+            rows = materialise(rows.where(F.col("n") > most).select("fp").distinct(), "large-buckets")
             read.append(rows)
         if last or rows.isEmpty():
-            found = materialise(pairs.distinct(), "near")
-            discard(*read)
-            return found
+            break
+    found = materialise(pairs.distinct(), "near")
+    discard(*read)
+    return found

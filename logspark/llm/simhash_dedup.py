@@ -58,6 +58,12 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for i, b in enumerate(bits) if bin((i % size + 1) & v).count("1") % 2) for v in range(1, size + 1)]
 
 
+def covering_families(radius: int) -> list[list[int]]:
+    """Covering masks, and longer ones: each of them with those that cover the bits that it leaves out."""
+    first = covering_masks(list(range(64)), radius)
+    return [first, [m | more for m in first for more in covering_masks([i for i in range(64) if not m >> i & 1], radius)]]
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id long, fingerprint string, component_id long, a row for each row.
 
@@ -67,7 +73,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     component_id unless a component has no other (then it is null). Other columns are ignored."""
     own = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    groups = connected_components(hamming_links(distinct, radius, covering_masks))
+    groups = connected_components(hamming_links(distinct, radius, covering_families(radius)))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialise(named, "fingerprint-groups")
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -82,6 +88,8 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     for a component or be told apart, and all stay."""
     parts = simhash_components(docs, shingle, radius)
     others = parts.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti")
+    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy("text")
-    return left.withColumn("__of_id", F.row_number().over(order)).where((F.col("__of_id") == 1) | F.col("doc_id").isNull()).drop("__of_id")
+    named = left.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    named = named.withColumn("of_id", F.row_number().over(order)).where("of_id = 1").select("row.*")
+    return named.unionByName(left.where("doc_id IS NULL"))

@@ -7,9 +7,9 @@ import numpy as np
 
 from logspark.llm.components import connected_components
 from logspark.llm.embedding_dedup import cover_tree, embedding_components
-from logspark.llm.hamming import hamming_links
-from logspark.llm.line_dedup import block_masks, drop_repeated_lines, line_dedup, removed_lines
-from logspark.llm.simhash_dedup import covering_masks, keep_one_per_group, simhash_components
+from logspark.llm.hamming import block_families, block_masks, hamming_links
+from logspark.llm.line_dedup import drop_repeated_lines, line_dedup, removed_lines
+from logspark.llm.simhash_dedup import covering_families, covering_masks, keep_one_per_group, simhash_components
 
 from . import brute
 
@@ -24,19 +24,25 @@ def test_components(spark):
 
 
 def test_masks_cover_every_pair():
-    for masks, radius in ((covering_masks, 2), (block_masks, 3)):
-        for bits in (range(64), range(5, 33), range(7)):
-            own = masks(list(bits), radius)
-            assert all(any(not m & sum(1 << b for b in apart) for m in own) for apart in combinations(bits, min(radius, 2)))
+    for bits in (range(64), range(5, 33), range(7)):
+        own = covering_masks(list(bits), 2)
+        assert all(any(not m & sum(1 << b for b in apart) for m in own) for apart in combinations(bits, 2))
+    rng = random.Random(3)
+    for families in (covering_families(2), *[block_families(3, n) for n in (0, 10**6, 10**9, 10**11)]):
+        radius = 2 if len(families[0]) == 7 else 3
+        apart = [sum(1 << b for b in rng.sample(range(64), radius)) for _ in range(300)]
+        assert all(any(not m & a for m in masks) for masks in families for a in apart)
+    assert min(m.bit_count() for m in block_families(3, 10**9)[0]) >= 30 and len(block_masks(3, 5)) == 10
 
 
 def test_hamming_links_in_large_buckets(spark):
+    """Clusters that the second and the third family split."""
     rng = random.Random(2)
     center = rng.getrandbits(63)
     fps = {center} | {center ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 4))) for _ in range(200)} | {rng.getrandbits(63) for _ in range(50)}
     rows = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for masks, radius in ((covering_masks, 2), (block_masks, 3)):
-        got = [(r.a, r.b) for r in hamming_links(rows, radius, masks, most=16).collect()]
+    for families, radius in ((covering_families(2), 2), (block_families(3, len(fps)), 3)):
+        got = [(r.a, r.b) for r in hamming_links(rows, radius, families, most=8).collect()]
         assert Counter(got) == Counter((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius)
 
 
@@ -64,7 +70,12 @@ def test_simhash_keeps_one(odd_docs, odd_rows, no_docs):
 
 
 def norm(line):
-    return " ".join(w for w in re.split(r"[\x00-`{-\x7f]+", line.lower()) if w)
+    """A line as it is held against others: its words and digits, or for short lines itself; None without a word."""
+    low = line.lower()
+    if 2 * len(re.sub("[0-9]", "", low)) > len(low):
+        low = re.sub("[0-9]", "0", low)
+    words = [w for w in re.split(r"[\x00-/:-`{-\x7f]+", low) if w]
+    return " ".join(words) if len(words) >= 5 else ("short", line.lower().strip(" \t\r\x0b\x0c")) if words else None
 
 
 def plain_lines(rows, spark):
@@ -74,35 +85,43 @@ def plain_lines(rows, spark):
     places = defaultdict(list)
     for i, text in {(brute.order(r[0]), r[1] or "") for r in rows}:
         for at, line in enumerate(text.split("\n")):
-            if len(norm(line).split(" ")) >= 5:
-                places[norm(line)].append((i, at))
-    words = spark.createDataFrame([(w,) for w in {w for n in places for w in n.split(" ")}], "w string")
+            if norm(line):
+                places[norm(line)].append((i, at, text))
+    long = [n for n in places if isinstance(n, str)]
+    words = spark.createDataFrame([(w,) for w in {w for n in long for w in n.split(" ")}], "w string")
     h = {r.w: r.h & (1 << 64) - 1 for r in words.select("w", F.xxhash64("w").alias("h")).collect()}
-    fp = {n: sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in set(n.split(" "))) > len(set(n.split(" ")))) for n in places}
-    similar = lambda a, b: 5 * brute.distance(a.split(" "), b.split(" ")) <= max(len(a.split(" ")), len(b.split(" ")))
-    links = [(a, b) for a, b in combinations(places, 2) if (fp[a] ^ fp[b]).bit_count() <= 3 and similar(a, b)]
-    root = brute.roots(places, links)
+    fp = {n: sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in set(n.split(" "))) > len(set(n.split(" ")))) for n in long}
+    near = lambda a, b: 5 * brute.distance(a, b) <= max(len(a), len(b))
+    links = [(a, b) for a, b in combinations(long, 2) if (fp[a] ^ fp[b]).bit_count() <= 3 and (near(a.split(" "), b.split(" ")) or near(a, b))]
+    root = brute.roots([str(p) for p in places], [(str(a), str(b)) for a, b in links])
     first = {}
     for n, at in places.items():
-        first[root[n]] = min([first.get(root[n], (brute.LAST, 0)), *at])
-    return {at for n, own in places.items() for at in own if at != first[root[n]]}, len(links)
+        first[root[str(n)]] = min([*([first[root[str(n)]]] if root[str(n)] in first else []), *[p[:2] for p in at]])
+    return {at for n, own in places.items() for at in own if at[:2] != first[root[str(n)]]}, len(links)
 
 
 def test_lines(spark, odd_docs, odd_rows, no_docs):
     rng = random.Random(6)
     line = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300))
-    texts = [line, line.replace("a", "A", 3).replace(" b", " - b", 2), line + " x", line + " y z", f"a short line\n{line}", "a short line", line[6:], "\n".join([line] * 3), "2024-01-02 seen at the front gate", "1999-12-31 seen, at the FRONT gate", " ".join(reversed(line.split(" ")))]
+    letters = " ".join(w[:4] + "z" if k % 3 == 0 else w for k, w in enumerate(line.split(" ")))
+    texts = [
+        line, line.replace("a", "A", 3).replace(" b", " - b", 2), line + " x", line + " y z", f"a short line\n{line}", "a short line", line[6:],
+        "\n".join([line] * 3), "2024-01-02 seen at the gate", "1999-12-31 seen, at the GATE", " ".join(reversed(line.split(" "))), letters,
+        " Read More \n\n---\n}", "read more\n\n---\n}", "Chapter 1", "Chapter 2", "1,2,3,4,5,6", "9,8,7,6,5,4", "9;8;7;6;5;4",
+    ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, line)]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, at string")
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, at string, row string")
     want, links = plain_lines(rows, spark)
     got = {(min(r.id, brute.LAST - 1), r.at) for r in removed_lines(docs).collect()}
-    assert links and got == {(min(i, brute.LAST - 1), at) for i, at in want}
+    assert links and got == {(min(i, brute.LAST - 1), at) for i, at, _ in want}
+    assert {(9, 0), (13, 0), (18, 0)} <= got and not {(13, 2), (13, 3), (15, 0), (17, 0)} & got
     out = line_dedup(docs).collect()
     assert len(out) == len(rows)
-    assert all(r.n_removed == sum(1 for i, _ in want if i == brute.order(r.doc_id)) for r in out)
+    assert all(r.n_removed == sum(1 for i, *_ in want if i == brute.order(r.doc_id)) for r in out)
     left = drop_repeated_lines(docs)
     assert left.columns == docs.columns
     assert [r.text for r in left.where("doc_id = 4").collect()] == ["a short line"] * 2
+    assert [r.text for r in left.where("doc_id = 13").collect()] == ["\n---\n}"]
     assert line_dedup(no_docs).collect() == []
     odd = drop_repeated_lines(odd_docs).collect()
     assert len(odd) == len(odd_rows) and sum(r.text is None for r in odd) == sum(r[1] is None for r in odd_rows)
@@ -113,7 +132,7 @@ def test_lines_of_texts_with_one_doc_id(spark):
     copied, own, other = ("the gate was seen open again", "nobody else wrote this sentence here", "quite different words stand in it")
     rows = [(1, copied), (2, f"x\n{copied}"), (2, f"x\n{own}"), (None, copied), (None, other)]
     got = Counter((r.doc_id, r.text) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == Counter([(1, copied), (2, "x"), (2, f"x\n{own}"), (None, ""), (None, other)])
+    assert got == Counter([(1, copied), (2, "x"), (2, own), (None, ""), (None, other)])
 
 
 def test_lines_linked_by_one_that_a_pivot_holds(spark):
