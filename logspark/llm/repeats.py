@@ -158,6 +158,18 @@ def anchors(docs: DataFrame, unit: Words | Bytes) -> DataFrame:
     return docs.select(_id(), F.col("text").cast("string").alias("text")).mapInArrow(of, "anchor long, around long, id long, at long")
 
 
+def anchor_places(texts: list[bytes], more: Iterable[int], unit: Bytes) -> list[int]:
+    """Where in a run's text its anchor lies: of the k-grams that all its windows hold, the first with the smallest hash."""
+    if not texts:
+        return []
+    h = unit.hashes(texts)[0] & ~_PLACE
+    out, begin = [], 0
+    for text, m in zip(texts, more):
+        out.append(m + int(h[begin + m : begin + unit.length - unit.k + 1].argmin()))
+        begin += len(text)
+    return out
+
+
 def repeated_runs(docs: DataFrame, unit: Words | Bytes) -> DataFrame:
     """Of anchors(), the rows whose anchor occurs more than once, as a table."""
     spark = docs.sparkSession
@@ -194,7 +206,7 @@ def removed_spans(items: list[dict] | None, mark: int, n: int, length: int) -> n
     return None if edge is None else np.cumsum(edge[:-1]) > 0
 
 
-def apply_removals(docs: DataFrame, ranges: DataFrame, unit: Words | Bytes, with_spans: bool) -> DataFrame:
+def apply_removals(docs: DataFrame, ranges: DataFrame, unit: Words | Bytes) -> DataFrame:
     """ranges (id, at) -> doc_id, n (units), n_removed, n_spans, kept_sha256, a row for each row of docs."""
     listed = ranges.groupBy("id").agg(F.collect_list("at").alias("items"))  # as many as the document's own runs
 

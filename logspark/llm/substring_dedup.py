@@ -63,11 +63,12 @@ def repeated_word_spans(docs: DataFrame, length: int = 50, k: int = 8) -> DataFr
 
 
 def remove_repeated_words(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, n_spans, kept_sha256, a row for each row.
+    """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_sha256, n_spans, a row for each row.
 
     Removes each word covered by a window of `length` words whose sequence also starts in a document with a smaller
     doc_id; windows are judged on the input. Null and empty texts have no words; shorter texts keep all. Repeats
     within one doc_id, repeated rows among them, don't count. A null doc_id ranks after all others. Other columns
     are ignored; an empty table gives no rows."""
     spans = repeated_word_spans(docs, length, k)
-    return apply_removals(docs, spans, Words(length, k), True).withColumnRenamed("n", "n_words")
+    removed = apply_removals(docs, spans, Words(length, k))
+    return removed.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256", "n_spans")

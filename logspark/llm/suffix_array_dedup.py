@@ -1,9 +1,10 @@
 """Substring dedup over bytes with suffix arrays.
 
-Runs of windows around anchors (see repeats) are compared whole first. The runs at an anchor that has several are
-dealt to shards by their anchor, and each shard's suffix array is made by induced sorting: suffixes are classified,
-leftmost-smaller (LMS) substrings sorted by induction and named, the string of names sorted, and the rest induced.
-Permuted common prefixes then show which windows are equal."""
+Runs of windows around anchors (see repeats) are compared whole first: copies of one run are the same string. The
+different runs at an anchor are dealt to shards by their anchor, and each shard's suffix array is made by induced
+sorting: suffixes are classified, leftmost-smaller (LMS) substrings sorted by induction and named, the string of names
+sorted in the same way, level by level, and the rest induced. Permuted common prefixes then show which windows are
+equal. An anchor with very many different runs is split by the bytes around it, so that equal windows stay together."""
 
 from __future__ import annotations
 
@@ -11,16 +12,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, text_bytes
-from .repeats import Bytes, apply_removals, repeated_runs, run_keys, tag, with_text
+from .common import discard, materialise, release, slices, text_bytes
+from .repeats import Bytes, anchor_places, apply_removals, repeated_runs, run_keys, tag, with_text
 
-#: A group of runs at one anchor beyond this is split by a hash; windows that its parts keep are then compared by key.
+#: Different runs in a group beyond which it is split by more of the bytes that its windows share.
 GROUP = 2000
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
+
+
+def _by_symbol(c: np.ndarray) -> np.ndarray:
+    """The stable order of symbols by counting: numpy's stable sort of 16-bit numbers is a radix sort."""
+    if len(c) < 64 or c.dtype.itemsize <= 2:
+        return np.argsort(c, kind="stable")
+    order = np.argsort((c & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if c.max() < 1 << 16 else order[np.argsort((c[order] >> 16).astype(np.uint16), kind="stable")]
 
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -30,13 +38,18 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     smaller: list[list[np.ndarray]] = [[] for _ in range(sigma)]
 
     def deal(j: np.ndarray, to: list[list[np.ndarray]]) -> None:
-        if len(j):
+        n = len(j)
+        if n == 1:
+            to[s[j[0]]].append(j)
+        elif n:
             c = s[j]
-            order = np.argsort(c, kind="stable")
+            order = _by_symbol(c)
             j, c = j[order], c[order]
-            cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(j)]):
+            cut = np.flatnonzero(c[1:] != c[:-1]) + 1
+            a = 0
+            for b in [*cut.tolist(), n]:
                 to[c[a]].append(j[a:b])
+                a = b
 
     def scan(own: list[np.ndarray], of_kind: np.ndarray, to: list[list[np.ndarray]]) -> None:
         """Hands on all arrays of a bucket, and then what that has added to it, until nothing is added."""
@@ -44,19 +57,24 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
         while done < len(own):
             now = own[done] if done + 1 == len(own) else np.concatenate(own[done:])
             done = len(own)
-            j = now[now > 0] - 1
+            j = now - 1  # before the first position comes the last, the end mark, which is of neither kind here
             deal(j[of_kind[j]], to)
 
-    large = ~small
+    large, before = ~small, small.copy()
+    large[-1] = before[-1] = False
     by_symbol: list[list[np.ndarray]] = [[] for _ in range(sigma)]
     deal(lms, by_symbol)
     for c in range(sigma):
-        scan(larger[c], large, larger)
-        scan(by_symbol[c], large, larger)
+        if larger[c]:
+            scan(larger[c], large, larger)
+        if by_symbol[c]:
+            scan(by_symbol[c], large, larger)
     smaller[s[-1]].append(np.array([len(s) - 1], np.int32))
     for c in range(sigma - 1, -1, -1):
-        scan(smaller[c], small, smaller)
-        scan([x[::-1] for x in reversed(larger[c])], small, smaller)
+        if smaller[c]:
+            scan(smaller[c], before, smaller)
+        if larger[c]:
+            scan([x[::-1] for x in reversed(larger[c])], before, smaller)
     parts = []
     for c in range(sigma):
         parts += larger[c]
@@ -64,20 +82,78 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     return np.concatenate(parts)
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of s in the order of the first `depth` symbols of their suffixes. s ends in its only 0.
-
-    The string of LMS names has a large alphabet; its order comes from doubling ranks, as far as `depth` asks."""
+def _induced_ranks(s: np.ndarray, small: np.ndarray, lms: np.ndarray, of_lms: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes (how many are smaller) that ranks of the LMS suffixes induce, for alphabets too large for
+    a bucket each: all larger suffixes are ranked by symbol and what follows, from the LMS positions backwards, and then
+    all smaller ones. Rounds go one position further from there, and have only what is still the same as another."""
+    n = len(s)
+    kind = s.astype(np.int64) * 2 + small
+    given = np.full(n, -1)
+    given[lms] = of_lms
+
+    def settle(own: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        rank, follows = np.zeros(n, np.int64), np.zeros(n, bool)
+        follows[own] = fixed[own] < 0
+        away = np.minimum.accumulate(np.where(follows, n, np.arange(n))[::-1])[::-1] - np.arange(n)
+        base, minor, k = kind[own], np.maximum(fixed[own], 0), 0
+        start = None
+        while len(own):
+            order = _by_symbol(minor)
+            order = order[_by_symbol(base[order])]
+            own, base, minor = own[order], base[order], minor[order]
+            other = base[1:] != base[:-1]
+            new = np.concatenate(([True], other | (minor[1:] != minor[:-1])))
+            at = np.arange(len(own))
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            if k:
+                first += start[order] - np.maximum.accumulate(np.where(np.concatenate(([True], other)), at, 0))
+            rank[own] = first
+            k += 1
+            heads = np.flatnonzero(new)
+            sizes = np.diff(np.append(heads, len(own)))
+            stay = np.repeat((sizes > 1) & (np.maximum.reduceat(away[own], heads) >= k), sizes)
+            own, base = own[stay], first[stay]
+            start, minor = base, rank[np.minimum(own + 1, n - 1)]
+        return rank
+
+    larger = settle(np.flatnonzero(~small | (given >= 0)), given)
+    fixed = np.where(small, -1, larger)
+    fixed[-1] = 0
+    return settle(np.arange(n), fixed)
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Positions of s in the order of their suffixes. s ends in its only 0."""
     sigma = int(s.max()) + 1
-    step = np.sign(np.diff(s.astype(np.int32)))
     n = len(s)
+    step = np.sign(np.diff(s.astype(np.int32)))
     following = np.where(step != 0, np.arange(n - 1), n)
     following = np.minimum.accumulate(following[::-1])[::-1]
     small = np.append(step[np.minimum(following, n - 2)] > 0, True) if n > 1 else np.array([True])
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if not len(lms):
-        return _induce(s, small, lms, sigma)
-    order = _induce(s, small, lms, sigma)
+    wide = sigma > 1 << 10
+    if wide:
+        name = _induced_ranks(s, small, lms, np.zeros(len(lms), np.int64))[lms]
+        name = np.unique(name, return_inverse=True)[1]
+    else:
+        order = _induce(s, small, lms, sigma)
+        if not len(lms):
+            return order
+        name = _names(s, lms, order)
+    order = np.argsort(name, kind="stable") if len(name) == name.max() + 1 else suffix_array(name.astype(np.int32))
+    if not wide:
+        return _induce(s, small, lms[order], sigma)
+    of_lms = np.empty(len(lms), np.int64)
+    of_lms[order] = np.arange(len(lms))
+    ranks = _induced_ranks(s, small, lms, of_lms)
+    out = np.empty(n, np.int64)
+    out[ranks] = np.arange(n)
+    return out
+
+
+def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers of the LMS substrings in their order, equal ones the same, from an order of all suffixes by them."""
+    n = len(s)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
@@ -92,17 +168,9 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
         same[at[~equal]] = False
         at = at[equal & (size[at] > j)]
         j += 1
-    rank_of = np.zeros(n, np.int64)
-    rank_of[order] = np.concatenate(([0], np.cumsum(~same)))
-    rank, k = rank_of[lms], 1
-    while k < depth and rank.max() + 1 < len(rank):
-        key = rank * (len(rank) + 1) + np.append(rank[k:] + 1, np.zeros(min(k, len(rank)), np.int64))[: len(rank)]
-        sort = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[sort][1:] != key[sort][:-1])))
-        rank = np.empty_like(rank)
-        rank[sort] = new
-        k *= 2
-    return _induce(s, small, lms[np.argsort(rank, kind="stable")], sigma)
+    name = np.zeros(n, np.int64)
+    name[order] = np.concatenate(([0], np.cumsum(~same)))
+    return name[lms]
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
@@ -148,7 +216,7 @@ def shard_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     used = np.zeros(258, bool)
     used[s] = True
     s = (np.cumsum(used) - 1).astype(np.int16)[s]
-    order = suffix_array(s, length)
+    order = suffix_array(s)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     left = begins[owner] + sizes[owner] - np.arange(len(raw))
     common = permuted_common_prefixes(raw, order, begins, int(sizes.max()))
@@ -162,39 +230,71 @@ def shard_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return cls[member], owner[at], at - begins[owner[at]]
 
 
-RANGES = "id long, at long, w1 long, w2 long"
+RUNS = "group long, least int, most int, lead int, id long, at long, bytes binary"
 
 
-def _branch_texts(docs: DataFrame, keys: DataFrame, unit: Bytes) -> DataFrame:
-    """The bytes of the first run of each key at an anchor that has several: anchor, part, split, id, at, bytes."""
-    parts = F.ceil(F.col("keys") / GROUP)
-    listed = keys.where("keys > 1").select("first.id", F.struct("first.at", "anchor", F.pmod("around", parts).cast("long").alias("part"), (parts > 1).alias("split")).alias("item"))
-    listed = listed.groupBy("id").agg(F.collect_list("item").alias("items"))
+def _run_texts(docs: DataFrame, keys: DataFrame, unit: Bytes) -> DataFrame:
+    """RUNS: the bytes of the first run of each key at an anchor that has several. `lead` is how many bytes the run's
+    first window begins before the anchor; from `least` to `most` bytes are those that the group's windows may have."""
+    listed = keys.where("keys > 1").select("first.id", F.struct("first.at", "anchor").alias("item"))
+    listed = listed.groupBy("id").agg(F.collect_list("item").alias("items"))  # as many as the document's own runs
+    most = unit.length - unit.k
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             rows = []
             for i, text, items in zip(batch.column("id").to_pylist(), text_bytes(batch.column("text")), batch.column("items").to_pylist()):
                 mark = tag(text)
                 for x in items:
                     if x["at"] & 0xFFFFFF == mark:
-                        start = x["at"] >> 32
-                        rows.append((x["anchor"], x["part"], x["split"], i, x["at"], text[start : start + (x["at"] >> 24 & 0xFF) + unit.length]))
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "part", "split", "id", "at", "bytes"])
-
-    rows = with_text(docs, listed).where("items IS NOT NULL").select("id", "text", "items")
-    return rows.mapInArrow(of, "anchor long, part long, split boolean, id long, at long, bytes binary")
+                        start, more = x["at"] >> 32, x["at"] >> 24 & 0xFF
+                        rows.append((x["anchor"], more, i, x["at"], text[start : start + more + unit.length]))
+            anchor, more, ids, ats, own = list(zip(*rows)) or [[]] * 5
+            lead = anchor_places(list(own), more, unit)
+            n = len(rows)
+            columns = [pa.array(anchor, pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, most, np.int32)), pa.array(lead, pa.int32()), pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "least", "most", "lead", "id", "at", "bytes"])
+
+    return with_text(docs, listed).where("items IS NOT NULL").select("id", "text", "items").mapInArrow(of, RUNS)
+
+
+def _halves(runs: DataFrame, length: int) -> DataFrame:
+    """RUNS in two: windows that begin far before the anchor, and near. Those of one half all hold more of the bytes
+    around the anchor, and those bytes name the new group: equal windows come into the same one."""
+    middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("least").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("most").alias("b"))))
+    rows = runs.where("least < most").withColumn("half", half).selectExpr("half.a", "half.b", "lead", "id", "at", "bytes", "shiftright(at, 24) & 255 AS more")
+    rows = rows.withColumns({"low": F.greatest("a", F.col("lead") - F.col("more")), "high": F.least("b", "lead")}).where("low <= high")
+    return rows.selectExpr(
+        f"xxhash64(a, b, substring(bytes, CAST(lead - a + 1 AS INT), {length} + a - b)) AS group", "a AS least", "b AS most", "CAST(high AS INT) AS lead", "id",
+        "shiftleft(shiftright(at, 32) + lead - high, 32) + shiftleft(CAST(high - low AS BIGINT), 24) + (at & 16777215) AS at",
+        f"substring(bytes, CAST(lead - high + 1 AS INT), CAST({length} + high - low AS INT)) AS bytes",
+    )
+
+
+def _split(runs: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """RUNS of groups of any size -> RUNS of groups of up to GROUP different ones, and id, at of runs that equal an
+    earlier one. Windows are halved up to single ones, of which a group has but one; each step has only the runs of
+    groups that are too large."""
+    whole, equal = [], []
+    while not runs.isEmpty():
+        parts = materialise(_halves(runs, length).selectExpr("*", "xxhash64(bytes) AS t1", "xxhash64(1, bytes) AS t2"), "halved-runs")
+        first = parts.groupBy("group", "t1", "t2").agg(F.min(F.struct("id", "at")).alias("first"))
+        rows = parts.join(first, ["group", "t1", "t2"]).withColumn("copy", F.expr("struct(id, at) > first"))
+        kept = rows.where("NOT copy").select(*runs.columns)
+        sizes = materialise(first.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "group-sizes")
+        equal.append(rows.where("copy").select("id", "at"))
+        whole.append(kept.join(sizes.where(F.col("n") <= GROUP), "group").select(*runs.columns))
+        runs = materialise(kept.join(sizes.where(F.col("n") > GROUP), "group").select(*runs.columns), "large-groups")
+    return whole, equal
 
 
 def _shard_results(texts: DataFrame, length: int) -> DataFrame:
-    """Sorted groups of texts -> RANGES: with null w1 the windows that equal an earlier one; with the 128 bits of
-    their bytes those that a part of a split group keeps."""
+    """RUNS sorted by group -> id long, at long: windows that equal an earlier one of their group."""
 
-    def solve(rows: list[tuple[int, bool, int, int, bytes]]) -> pa.RecordBatch:
-        split, ids, ats, own = [list(c) for c in zip(*[r[1:] for r in rows])]
-        ids, ats, split = np.array(ids, np.int64), np.array(ats, np.int64), np.array(split, bool)
+    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        ids, ats, own = (list(c) for c in zip(*rows))
+        ids, ats = np.array(ids, np.int64), np.array(ats, np.int64)
         cls, text, offset = shard_windows(own, length)
         start = (ats[text] >> 32) + offset
         order = np.lexsort((start, ids[text], cls))
@@ -209,33 +309,24 @@ def _shard_results(texts: DataFrame, length: int) -> DataFrame:
         new[1:] = (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)
         first = np.flatnonzero(new)
         more = np.diff(np.append(first, len(text))) - 1
-        marks = ats & 0xFFFFFF
-        id_out, at_out = ids[text[first]], start[first] << 32 | more << 24 | marks[text[first]]
-        w1 = w2 = pa.nulls(len(first), pa.int64())
-        if split.any():
-            lost = set(zip(text.tolist(), offset.tolist()))
-            kept = [(t, o) for t in np.flatnonzero(split).tolist() for o in range(len(own[t]) - length + 1) if (t, o) not in lost]
-            t, o = (np.array(x, np.int64) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(own[a][b : b + length]) for a, b in kept), "<i8").reshape(-1, 2)
-            id_out, at_out = np.concatenate((id_out, ids[t])), np.concatenate((at_out, ((ats[t] >> 32) + o) << 32 | marks[t]))
-            w1, w2 = (pa.concat_arrays([w, pa.array(np.ascontiguousarray(d))]) for w, d in zip((w1, w2), digest.T))
-        return pa.RecordBatch.from_arrays([pa.array(id_out), pa.array(at_out), w1, w2], ["id", "at", "w1", "w2"])
+        at = start[first] << 32 | more << 24 | ats[text[first]] & 0xFFFFFF
+        return pa.RecordBatch.from_arrays([pa.array(ids[text[first]]), pa.array(at)], ["id", "at"])
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, group = [], 0, None
         for batch in batches:
-            for anchor, part, split, i, at, text in zip(*[batch.column(c).to_pylist() for c in ("anchor", "part", "split", "id", "at", "bytes")]):
-                if (anchor, part) != group:
+            for own, i, at, text in zip(*[batch.column(c).to_pylist() for c in ("group", "id", "at", "bytes")]):
+                if own != group:
                     if size > SHARD_BYTES:
                         yield solve(rows)
                         rows, size = [], 0
-                    group = (anchor, part)
-                rows.append((anchor, split, i, at, text))
+                    group = own
+                rows.append((i, at, text))
                 size += len(text) + 1
         if rows:
             yield solve(rows)
 
-    return texts.mapInArrow(of, RANGES)
+    return texts.select("group", "id", "at", "bytes").mapInArrow(of, "id long, at long")
 
 
 def repeated_byte_spans(docs: DataFrame, length: int = 100, k: int = 24) -> DataFrame:
@@ -245,13 +336,18 @@ def repeated_byte_spans(docs: DataFrame, length: int = 100, k: int = 24) -> Data
     keys = run_keys(runs)
     release(spark)
     whole = runs.join(keys.select("anchor", "around", "first"), ["anchor", "around"]).where("struct(id, at) > first").select("id", "at")
-    texts = _branch_texts(docs, keys, unit).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    found = materialise(_shard_results(texts, length), "shards")
+    texts = materialise(_run_texts(docs, keys, unit), "run-texts")
     release(spark)
-    kept = found.where("w1 IS NOT NULL")
-    shared = materialise(kept.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1"), "shared-windows")
-    across = kept.join(shared, ["w1", "w2"]).where("struct(id, at) > first").select("id", "at")
-    spans = materialise(whole.unionByName(found.where("w1 IS NULL").select("id", "at")).unionByName(across), "byte-spans")
+    large = keys.select(F.col("anchor").alias("group"), "keys").where(F.col("keys") > GROUP).distinct()
+    split, equal = _split(texts.join(large, "group", "left_semi"), length)
+    shards = texts.join(large, "group", "left_anti")
+    for part in split:
+        shards = shards.unionByName(part)
+    spans = whole.unionByName(_shard_results(shards.repartition("group").sortWithinPartitions("group"), length))
+    for part in equal:
+        spans = spans.unionByName(part)
+    spans = materialise(spans, "byte-spans")
+    discard(runs, keys, texts)
     release(spark)
     return spans
 
@@ -264,4 +360,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, k: int = 24) -> Da
     shorter texts keep all. A null doc_id ranks after all others. Rows that repeat a doc_id with the same text are
     one document and each lose what it loses. Other columns are ignored; an empty table gives no rows."""
     spans = repeated_byte_spans(docs, length, k)
-    return apply_removals(docs, spans, Bytes(length, k), True).withColumnRenamed("n", "n_bytes")
+    return apply_removals(docs, spans, Bytes(length, k)).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

@@ -5,8 +5,10 @@ import pytest
 import public_tokenizers
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 from logspark.llm import queries
-from logspark.llm.mixing import mix_sources, mixed_rows
+from logspark.llm.mixing import mix_sources, mixed_rows, shard_quotas
 from logspark.llm.quality_rules import BASE, keep_good_rows, quality_verdicts
 from logspark.llm.token_counts import token_counts
 from logspark.llm.url_filters import filter_urls
@@ -50,6 +52,23 @@ def test_quality_follows_language_and_source(spark):
     assert all(got[r[0]] for r in clean + long) and not any(got[k] for k in (5000, 5001, 5003)) and got[5002]
 
 
+def test_quality_of_groups_of_any_size(spark):
+    """A source's own documents weigh the more the more there are; nothing jumps from 199 to 200 of them."""
+    from logspark.llm.quality_rules import fences, sketches
+
+    def rows(source, n, length):
+        return [("en", source, 300, 300 * length, 0, 0, 0, 10)] * n
+
+    schema = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    most = []
+    for n in (1, 199, 200, 201, 5000):
+        measured = spark.createDataFrame(rows("big", 1000, 5) + rows("big", 1000, 6) + rows("own", n, 9), schema)
+        most.append(next(r.mean_length_most for r in fences(sketches(measured)).collect() if r.source == "own"))
+    assert most[0] < 1000 and most[-1] < 1000 and abs(most[1] - most[2]) < 100 and abs(most[2] - most[3]) < 100
+    lone = spark.createDataFrame(rows(None, 1, 5), schema)
+    assert [r.mean_length_least <= 500 <= r.mean_length_most for r in fences(sketches(lone)).collect()] == [True]
+
+
 def targets(sizes):
     """The resharing, step by step."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -88,12 +107,49 @@ def test_mixing(odd_docs, odd_rows, no_docs):
     assert mix_sources(no_docs).collect() == []
 
 
-def test_mixed_rows(odd_docs):
+def test_shard_quotas(spark):
+    """Each shard's share of all blocks is the same, and of each source as a draw without replacement gives it."""
+    counts = {"a": 600, "b": 90, "c": 1}
+    table = spark.createDataFrame(list(counts.items()), "key string, n long")
+    seen = []
+    for seed in "xyz":
+        quotas = {(r.shard, r.key): r.n for r in shard_quotas(table, 8, seed).collect()}
+        for k, n in counts.items():
+            assert sum(v for (_, key), v in quotas.items() if key == k) == n
+        assert {sum(quotas.get((s, k), 0) for k in counts) for s in range(8)} <= {86, 87}
+        assert all(2 <= quotas[s, "b"] <= 24 for s in range(8))  # 11 on average, with a spread of about 3
+        seen.append(tuple(quotas.get((s, "b"), 0) for s in range(8)))
+    assert len(set(seen)) == 3 and shard_quotas(table.limit(0), 8, "x").collect() == []
+
+
+def test_mix_takes_what_the_shards_draw(spark):
+    """Rows of one block go to the same shards; the shards' blocks are their quotas."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "s" if i % 3 else None) for i in range(3000)], "doc_id long, text string, source string")
+    rows = mix_sources(docs, blocks=64, shards=4).withColumn("block", F.expr("conv(substring(md5(concat('mix|', doc_id)), 1, 15), 16, 10) DIV shiftleft(1L, 54)")).collect()
+    whole = {}
+    for r in rows:
+        if r.taken % r.size == 0:
+            whole.setdefault((r.source_size, r.block), set()).add(tuple(r.shards))
+    assert sum(len(v) > 1 for v in whole.values()) <= 2  # the block of each source that the quota cuts
+    drawn = Counter(s for v in whole.values() for s in max(v, key=len))
+    assert set(drawn) == {0, 1, 2, 3} and max(drawn.values()) - min(drawn.values()) <= 3
+    assert all(len(r.shards) == -(-r.taken // r.size) for r in rows)
+
+
+def test_mixed_rows(odd_docs, no_docs, spark):
     out = mixed_rows(odd_docs)
     assert out.columns == odd_docs.columns
     n = Counter(r.doc_id for r in out.collect())
     for r in mix_sources(odd_docs.where("doc_id <> 7")).collect():
         assert abs(n[r.doc_id] * r.size - r.taken) <= max(r.size, 1) or r.doc_id == 7 or r.size == 0
+    assert mixed_rows(no_docs).collect() == []
+    docs = spark.createDataFrame([(i, "w w", "s") for i in range(400)], "doc_id long, text string, source string")
+    shard = {r.doc_id: list(r.shards) for r in mix_sources(docs, shards=4).collect()}
+    parts = mixed_rows(docs, shards=4).withColumn("part", F.spark_partition_id()).collect()
+    for part in {r.part for r in parts}:
+        own = [r.doc_id for r in parts if r.part == part]
+        assert own != sorted(own) and len(own) >= 50
+    assert Counter(r.doc_id for r in parts) == Counter({i: len(s) for i, s in shard.items() if s})
 
 
 def test_url_filters(spark):

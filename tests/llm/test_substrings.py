@@ -51,21 +51,40 @@ def test_no_documents(no_docs, by_bytes):
 
 
 def test_groups_that_are_split(spark, monkeypatch):
-    """Many texts around one passage: one anchor with more different surroundings than a part takes."""
+    """Many texts around one passage, some of them repeated rows or copies of one another's ends: one anchor with more
+    different surroundings than a group takes."""
     monkeypatch.setattr("logspark.llm.suffix_array_dedup.GROUP", 3)
     assert GROUP > 3
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
-    passage = " ".join(word() for _ in range(20))
-    rows = [(i, " ".join([*(word() for _ in range(8)), passage[: rng.randrange(90, len(passage))], *(word() for _ in range(8))])) for i in range(40)]
-    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, True)
+    passage, heads = " ".join(word() for _ in range(20)), [" ".join(word() for _ in range(8)) for _ in range(6)]
+    for around in (lambda: " ".join(word() for _ in range(8)), lambda: rng.choice(heads)[: rng.randrange(20, 60)]):
+        rows = [(i, f"{around()} {passage[: rng.randrange(90, len(passage))]} {around()}") for i in range(60)]
+        rows += [rows[7], rows[7], (3, rows[9][1]), (None, rows[11][1]), (60, f"{passage} {passage}")]
+        check(spark.createDataFrame(rows, "doc_id long, text string"), rows, True)
+
+
+def test_suffix_array_of_large_alphabets():
+    rng = random.Random(5)
+    for sigma, n in ((3000, 5000), (2000, 6000), (1500, 1501)):
+        s = np.array([*rng.choices(range(1, sigma), k=n), *[sigma] * 40, *rng.choices(range(1, sigma), k=30), *[7] * 50, 0], np.int32)
+        s = np.concatenate([s[:-1], s])
+        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_suffix_array_of_deep_repeats():
+    rng = random.Random(2)
+    for n in (1000, 5000):
+        part = [rng.randrange(1, 4) for _ in range(n // 10)]
+        s = np.array((part + [rng.randrange(1, 5)]) * 9 + [0], np.int16)
+        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
 def test_suffix_array():
     rng = random.Random(1)
     for n in range(1, 120):
         s = np.array([rng.randrange(1, 2 + n % 5) for _ in range(n)] + [0])
-        assert suffix_array(s, 500).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+        assert suffix_array(s).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
 
 
 def test_shard_windows():
