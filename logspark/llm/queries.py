@@ -19,7 +19,7 @@ from .simhash_dedup import simhash_components
 from .substring_dedup import remove_repeated_words
 from .suffix_array_dedup import remove_repeated_bytes
 from .token_counts import token_counts
-from .url_filters import domain, filter_urls, host, place
+from .url_filters import filter_urls, host, place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,11 +71,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
-    """A list for `pages`, which come without one: of all hosts, domains and places some are listed, by their MD5.
+    """A list for `pages`, which come without one: of all hosts, their last two labels, and places some are listed, by
+    their MD5.
 
     A listed one is added on a day of the first half of the year, removed some weeks later, and every other one is
     added again."""
-    names = [host(F.col("url")), domain(host(F.col("url"))), place(F.col("url"))]
+    names = [host(F.col("url")), F.regexp_extract(host(F.col("url")), r"([^.]+\.[^.]+)$", 1), place(F.col("url"))]
     names = pages.select(F.explode(F.array(*names)).alias("pattern")).where("pattern <> ''").distinct()
     hashed = names.withColumn("m", F.md5("pattern")).withColumn("v", F.conv(F.substring("m", 2, 4), 16, 10).cast("int")).where("substring(m, 1, 1) < '4'")
     day = F.expr("date_add(DATE'2024-01-01', v % 180)")
@@ -98,7 +99,7 @@ SQL["op8_url_filters"] = r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched, lower(url) AS u FROM pages),
 h AS (
-  SELECT page_id, fetched, u, coalesce(regexp_extract(u, '^[a-z][a-z0-9+.\-]*://([^/?#@]*@)?([^/?#:@]*)', 2), '') AS host,
+  SELECT page_id, fetched, u, rtrim(coalesce(regexp_extract(u, '^[a-z][a-z0-9+.\-]*://([^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)', 2), ''), '.') AS host,
          coalesce(regexp_extract(u, '^[a-z][a-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment FROM p),
 k AS (
   SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain,
@@ -114,7 +115,7 @@ spells AS (
 m AS (
   SELECT k.page_id, k.fetched, k.host,
          EXISTS (SELECT 1 FROM spells s WHERE s.pattern = k.host AND k.fetched >= s.d1 AND k.fetched < s.d2) AS by_host,
-         EXISTS (SELECT 1 FROM spells s WHERE s.pattern = k.domain AND k.fetched >= s.d1 AND k.fetched < s.d2) AS by_domain,
+         EXISTS (SELECT 1 FROM spells s WHERE (s.pattern = k.host OR ends_with(k.host, '.' || s.pattern)) AND contains(s.pattern, '.') AND NOT regexp_matches(k.host, '^([0-9]+([.][0-9]+){3}|\[.*)$') AND k.fetched >= s.d1 AND k.fetched < s.d2) AS by_domain,
          EXISTS (SELECT 1 FROM spells s WHERE s.pattern = k.place AND k.fetched >= s.d1 AND k.fetched < s.d2) AS by_place
   FROM k)
 SELECT *, by_host OR by_domain OR by_place AS blocked FROM m

@@ -153,14 +153,19 @@ def test_mixed_rows(odd_docs, no_docs, spark):
 
 
 def test_url_filters(spark):
-    entries = [("a.org", date(2024, 1, 5), True), ("a.org", date(2024, 1, 9), False), ("a.org", date(2024, 1, 9), True), ("b.com", date(2024, 1, 1), True), ("x.b.com/p", date(2024, 1, 3), True), (None, date(2024, 1, 1), True), ("", date(2024, 1, 1), True), ("c.net", None, True)]
+    entries = [("A.org.", date(2024, 1, 5), True), ("a.org", date(2024, 1, 9), False), ("a.org", date(2024, 1, 9), True), ("b.com", date(2024, 1, 1), True), ("x.b.com/p", date(2024, 1, 3), True), (None, date(2024, 1, 1), True), ("", date(2024, 1, 1), True), ("c.net", None, True)]
+    entries += [("m.co.uk", date(2024, 1, 1), True), ("3.4", date(2024, 1, 1), True), ("1.2.3.4", date(2024, 1, 6), True), ("uk", date(2024, 1, 1), True)]
     list_ = spark.createDataFrame(entries, "pattern string, day date, active boolean")
     rows = [("http://A.org/x", 4), ("https://u@a.org:80", 5), ("http://a.org?q", 8), ("http://a.org", 9), ("http://x.b.com/p/q", 2), ("http://x.b.com/p?z", 3), ("ftp://b.com/p", 2), (None, 5), ("nonsense", 5), ("http://", 5), ("http://c.net", 5), ("http://a.org", None), ("http://a.org", None)]
-    df = spark.createDataFrame([(u, d and date(2024, 1, d), "h") for u, d in rows], "url string, fetched date, __x string")
+    rows += [("http://w.x.M.co.uk./", 5), ("http://other.co.uk", 5), ("http://1.2.3.4/", 5), ("http://1.2.3.4:8/", 6), ("http://[::1]:80/x", 6), ("http://uk/", 6), ("http://y.z.b.com", 2)]
+    df = spark.createDataFrame([(u, d and date(2024, 1, d), "h", "i") for u, d in rows], "url string, fetched date, __x string, host string")
     for small in (100_000, 0):
-        got = Counter((r.url, r.fetched and r.fetched.day, r.by_host, r.by_domain, r.by_place) for r in filter_urls(df, list_, small).collect())
+        out = filter_urls(df, list_, small)
+        got = Counter((r.url, r.fetched and r.fetched.day, r.by_host, r.by_domain, r.by_place) for r in out.collect())
         on = {("https://u@a.org:80", 5): (1, 1, 0), ("http://a.org?q", 8): (1, 1, 0), ("http://x.b.com/p/q", 2): (0, 1, 0), ("http://x.b.com/p?z", 3): (0, 1, 1), ("ftp://b.com/p", 2): (1, 1, 0)}
+        on |= {("http://w.x.M.co.uk./", 5): (0, 1, 0), ("http://1.2.3.4:8/", 6): (1, 0, 0), ("http://uk/", 6): (1, 0, 0), ("http://y.z.b.com", 2): (0, 1, 0)}
         assert got == Counter((u, d, *map(bool, on.get((u, d), (0, 0, 0)))) for u, d in rows)
+        assert {r.host for r in out.collect()} >= {"a.org", "w.x.m.co.uk", "[::1]", "1.2.3.4", ""}
     assert filter_urls(df.limit(0), list_.limit(0)).collect() == []
 
 
