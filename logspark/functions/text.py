@@ -26,12 +26,25 @@ def without(m: Column, key: str) -> Column:
 
 
 def overlay(low: Column, high: Column) -> Column:
-    """Both maps' keys; where they share one, the value of `high`."""
-    return F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
+    """Both maps' keys; where they share one, the value of `high`. Maps should be columns, as they are read often."""
+    both = F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
+    return F.when(F.size(low) == 0, high).when(F.size(high) == 0, low).otherwise(both)
+
+
+def sorted_pairs(pairs: Column) -> Column:
+    """An array of structs k, v in the order of k, of equal ones the last first."""
+    return F.sort_array(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("at"), p["v"].alias("v"))))
+
+
+def map_of_sorted(pairs: str) -> Column:
+    """The map of a column of sorted_pairs: the last of each key. It has to be a column, as each step looks back in it."""
+    last = F.filter(pairs, lambda p, i: (i == 0) | (F.get(pairs, i - 1)["k"] != p["k"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
 
 
 def blank(x: Column) -> Column:
-    return ~F.coalesce(x, F.lit("")).rlike(r"(?U)\S")
+    x = F.coalesce(x, F.lit(""))
+    return (x == "") | ~x.rlike(r"(?U)\S")
 
 
 def first_non_blank(*values: Column) -> Column:
@@ -50,6 +63,16 @@ def number_text(x: Column) -> Column:
     return F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
 
 
+def general_number(x: Column) -> Column:
+    """A double with as few digits as tell it apart; an exponent, of two digits at least, below 0.0001 and from 10^21 on."""
+    shown = x.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(shown.try_cast("decimal(38,22)").cast("string"), r"0+$", ""), r"\.$", "")
+    whole = shown.try_cast("decimal(38,0)").cast("string")
+    power = F.regexp_replace(F.regexp_replace(shown, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
+    power = F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2")
+    return F.when((F.abs(x) >= 1e21) | ((F.abs(x) < 1e-4) & (x != 0)), power).when(x == F.rint(x), whole).otherwise(digits)
+
+
 def stream_key(tenant: Column | str, labels: Column | str) -> Column:
     """tenant|k=v|..., keys in order; the bare tenant without labels."""
     tenant, labels = (F.col(x) if isinstance(x, str) else x for x in (tenant, labels))

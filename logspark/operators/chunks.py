@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,11 +29,26 @@ def estimated_bytes() -> Column:
     return text.stored_bytes(F.col("body"), texts, [F.col("stream_labels"), F.col("parsed_fields")])
 
 
+#: Where a search for fields looks.
+_SEARCHED = ("parsed_fields", "log_attrs", "resource_attrs")
+
+
+def segment_summaries(events: DataFrame) -> DataFrame:
+    """Summaries by tenant, day, stream and hour, the chunks that pruned searches leave out; without the tokens."""
+    # A label's value may hold what stands between labels in a stream's key, so the labels themselves count, too.
+    own = F.xxhash64(F.array_sort(F.map_entries("stream_labels")))
+    keys = {"stream_key": text.stream_key("tenant_id", "stream_labels"), "bucket": text.bucket(F.col("ts")), "day": F.to_date("ts"), "labels_hash": own}
+    return summaries(events.withColumns(keys), "tenant_id", *keys).drop("tokens")
+
+
 def summaries(chunked: DataFrame, *keys: str) -> DataFrame:
-    """A row for each chunk: events, bytes, time range, field names, tokens and a 256-bit bloom filter of them."""
+    """A row for each chunk: events, bytes, time range, labels (all events of a stream have the same), names of its
+    parsed fields and of all that a search for fields looks at, tokens and a 256-bit bloom filter of them."""
     base = chunked.groupBy(*keys).agg(
         F.count("*").alias("event_count"), F.sum(estimated_bytes()).alias("bytes"), F.min("ts_ns").alias("min_ts_ns"), F.max("ts_ns").alias("max_ts_ns"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("parsed_fields"))))).alias("field_names"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.concat(*[F.map_keys(m) for m in _SEARCHED])))))).alias("searchable"),
+        F.first("stream_labels").alias("stream_labels"),
     )
     words = chunked.select(*keys, F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("token")).distinct()
     bits = words.withColumn("bits", text.bloom_bits(F.col("token")))
@@ -41,6 +57,12 @@ def summaries(chunked: DataFrame, *keys: str) -> DataFrame:
     return base.join(blooms, list(keys), "left")
 
 
+def whole_tokens(needle: str) -> list[str]:
+    """Tokens of a wanted text with something else on both sides: where the text is, they are whole tokens too."""
+    parts = re.split("[^a-z0-9]+", needle.lower())
+    return [t for t in parts[1:-1] if t]
+
+
 def may_contain(needle: str) -> Column:
     """Whether a summary's bloom filter has every token of the needle: whole tokens only, so use it where the
     needle isn't part of a longer token. Without tokens everything may."""
@@ -54,29 +76,27 @@ def may_contain(needle: str) -> Column:
 
 
 def build_chunks(events: DataFrame, max_events: int = 1000, max_bytes: int = 262_144, max_ns: int = 60_000_000_000) -> DataFrame:
-    """Events -> ingest_seq, stream_key, bucket, chunk: a chunk ends with the event that brings it to max_events or
-    max_bytes, or that comes max_ns after its first. Chunks don't span buckets.
+    """Events -> ingest_seq, stream_key, chunk: a chunk ends with the event that brings it to max_events or max_bytes,
+    or that comes max_ns after its first. Streams are cut in order of arrival, whatever the hour.
 
-    Where one ends depends on where the last did, so rows of a stream's bucket are read in order, batch by batch;
-    a task remembers three numbers and holds no bucket whole."""
-    rows = events.select(
-        "ingest_seq", "ts_ns", text.stream_key("tenant_id", "stream_labels").alias("stream_key"), text.bucket(F.col("ts")).alias("bucket"), estimated_bytes().alias("bytes")
-    )
+    Where a chunk ends depends on where the last did, so a stream's rows are read in order, batch by batch; a task
+    remembers three numbers and holds no stream whole."""
+    rows = events.select("ingest_seq", "ts_ns", text.stream_key("tenant_id", "stream_labels").alias("stream_key"), estimated_bytes().alias("bytes"))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, chunk, n, size, first = None, 0, 0, 0, 0
+        stream, chunk, n, size, first = None, 0, 0, 0, 0
         for b in batches:
             out = []
-            for stream, bucket, ts, own in zip(b["stream_key"], b["bucket"], b["ts_ns"], b["bytes"]):
-                if (stream, bucket) != group:
-                    group, chunk, n = (stream, bucket), 0, 0
+            for key, ts, own in zip(b["stream_key"], b["ts_ns"], b["bytes"]):
+                if key != stream:
+                    stream, chunk, n = key, 0, 0
                 if not n:
                     size, first = 0, ts
                 n, size = n + 1, size + own
                 out.append(chunk)
                 if n >= max_events or size >= max_bytes or ts - first >= max_ns:
                     chunk, n = chunk + 1, 0
-            yield b[["ingest_seq", "stream_key", "bucket"]].assign(chunk=out)
+            yield b[["ingest_seq", "stream_key"]].assign(chunk=out)
 
-    dealt = rows.repartition("stream_key", "bucket").sortWithinPartitions("stream_key", "bucket", "ingest_seq")
-    return dealt.mapInPandas(assign, "ingest_seq long, stream_key string, bucket string, chunk long")
+    dealt = rows.repartition("stream_key").sortWithinPartitions("stream_key", "ingest_seq")
+    return dealt.mapInPandas(assign, "ingest_seq long, stream_key string, chunk long")

@@ -87,6 +87,7 @@ def retention_report(decided: DataFrame) -> DataFrame:
     )
 
 
-def with_tenant(rows: DataFrame, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with their tenant's columns, and rows whose tenant isn't known."""
-    return rows.join(tenants, "tenant_id"), rows.join(tenants, "tenant_id", "left_anti")
+def with_tenant(rows: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Rows with their tenant's columns and `known`, by one join; the columns are null for unknown tenants."""
+    marked = tenants.withColumn("known", F.lit(True))
+    return rows.join(marked, "tenant_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import regex, text
+from .chunks import may_contain, whole_tokens
 
 #: What makes two rows one event; severity and parsed fields don't count.
 IDENTITY = ("tenant_id", "ts_ns", "stream_key", "body", "trace_id", "span_id")
@@ -15,7 +17,8 @@ IDENTITY = ("tenant_id", "ts_ns", "stream_key", "body", "trace_id", "span_id")
 
 @dataclass(frozen=True)
 class Query:
-    """All given conditions must hold. Both ends of the time range are in it. A limit of 0 is none."""
+    """All given conditions must hold. Both ends of the time range are in it. A limit of 0 is none. `bucket` is the
+    one hour to look at, YYYY-MM-DD/HH."""
 
     tenant_id: str
     start_ns: int
@@ -27,6 +30,7 @@ class Query:
     limit: int = 0
     cursor: str = ""
     tail: bool = False
+    bucket: str = ""
 
     def __post_init__(self) -> None:
         if not self.tenant_id.strip():
@@ -35,9 +39,15 @@ class Query:
             raise ValueError("the end lies before the start")
         if self.limit < 0 or (self.cursor and not self.cursor.isdecimal()):
             raise ValueError("limit and cursor must be non-negative numbers")
+        if self.bucket:
+            self.hour  # noqa: B018
         if self.regex:
             regex.checked(self.regex)
 
+    @property
+    def hour(self) -> datetime:
+        return datetime.strptime(self.bucket, "%Y-%m-%d/%H")
+
     @property
     def offset(self) -> int:
         return int(self.cursor or 0)
@@ -49,11 +59,26 @@ def tail(tenant_id: str, now_ns: int, since_ns: int | None = None, limit: int =
     return Query(tenant_id, start, now_ns, limit=limit if limit > 0 else 100, tail=True, **conditions)
 
 
-def matches(q: Query) -> Column:
-    """The whole predicate. Tenant and time come first, on plain columns that a scan can prune by."""
-    low, high = F.timestamp_micros(F.lit(q.start_ns // 1000 - 1)), F.timestamp_micros(F.lit(q.end_ns // 1000 + 1))
-    found = (F.col("tenant_id") == q.tenant_id) & F.col("ts").between(low.cast("timestamp_ntz"), high.cast("timestamp_ntz"))
-    found &= F.col("ts_ns").between(q.start_ns, q.end_ns)
+def in_time(q: Query, days: bool = False) -> Column:
+    """Tenant and time on plain columns that a scan can prune by; with `days` also on the partition column `day`."""
+    low, high = (F.timestamp_micros(F.lit(x)).cast("timestamp_ntz") for x in (q.start_ns // 1000 - 1, q.end_ns // 1000 + 1))
+    found = (F.col("tenant_id") == q.tenant_id) & F.col("ts").between(low, high) & F.col("ts_ns").between(q.start_ns, q.end_ns)
+    if q.bucket:
+        found &= (F.col("ts") >= F.lit(q.hour).cast("timestamp_ntz")) & (F.col("ts") < F.lit(q.hour + timedelta(hours=1)).cast("timestamp_ntz"))
+    return found & on_days(q) if days else found
+
+
+def on_days(q: Query) -> Column:
+    """The days of the time range, as dates that are known before the scan."""
+    first, last = (datetime(1970, 1, 1) + timedelta(microseconds=x // 1000) for x in (q.start_ns, q.end_ns))
+    if q.bucket:
+        first, last = max(first, q.hour), min(last, q.hour)
+    return F.col("day").between(F.lit(first.date()), F.lit(last.date()))
+
+
+def matches(q: Query, days: bool = False) -> Column:
+    """The whole predicate; with `days` for tables that are stored by day."""
+    found = in_time(q, days)
     for k, v in sorted(q.labels.items()):
         found &= text.get("stream_labels", k) == v
     for k, v in sorted(q.fields.items()):
@@ -74,24 +99,63 @@ def ordered(events: DataFrame, newest_first: bool = False) -> DataFrame:
 
 def search(events: DataFrame, q: Query) -> DataFrame:
     """One page in order; with a limit Spark keeps the smallest rows of each partition and sorts no more."""
-    rows = ordered(events.where(matches(q)), q.tail)
+    rows = ordered(events.where(matches(q, "day" in events.columns)), q.tail)
     rows = rows.offset(q.offset) if q.offset else rows
     return rows.limit(q.limit) if q.limit else rows
 
 
+def candidates(summaries: DataFrame, q: Query) -> DataFrame:
+    """The chunk summaries (see chunks.segment_summaries) that may hold a match: tenant, days and hour, time range,
+    labels, names of the wanted fields, and the bloom filter for tokens that stand whole in the wanted text. Parts of
+    it at its ends may be parts of longer tokens, so nothing that matches is left out."""
+    found = (F.col("tenant_id") == q.tenant_id) & on_days(q) & (F.col("min_ts_ns") <= q.end_ns) & (F.col("max_ts_ns") >= q.start_ns)
+    if q.bucket:
+        found &= F.col("bucket") == q.bucket
+    for k, v in sorted(q.labels.items()):
+        found &= text.get("stream_labels", k) == v
+    for k, v in sorted(q.fields.items()):
+        found &= F.array_contains("searchable", k) if v else F.lit(True)  # an empty value also matches where no field is
+    if q.contains and not q.regex:
+        found &= may_contain(" ".join(whole_tokens(q.contains)))
+    return summaries.where(found)
+
+
+def pruned_search(events: DataFrame, summaries: DataFrame, q: Query) -> DataFrame:
+    """search() over a table of write_events, of which only candidate chunks' events are looked at."""
+    keys = ["tenant_id", "day", "stream_key", "bucket"]
+    narrow = events.where(in_time(q, days=True)).join(candidates(summaries, q).select(*keys), keys, "left_semi")
+    return search(narrow, q)
+
+
+def explain(summaries: DataFrame, q: Query) -> DataFrame:
+    """candidate_chunks, candidate_streams, candidate_events, and cost: chunks times one and the number of label and
+    field conditions. Only summaries are read."""
+    weight = 1 + len(q.labels) + len(q.fields)
+    return candidates(summaries, q).agg(
+        F.count("*").alias("candidate_chunks"), F.countDistinct("stream_key").alias("candidate_streams"),
+        F.coalesce(F.sum("event_count"), F.lit(0)).alias("candidate_events"), (F.count("*") * weight).alias("cost"),
+    )
+
+
+def page_summary(events: DataFrame, q: Query) -> DataFrame:
+    """matched, next_cursor: how many events match in all, and where the next page begins, or empty after the last.
+    It counts and sorts nothing."""
+    total = events.where(matches(q, "day" in events.columns)).agg(F.count("*").alias("matched"))
+    more = F.lit(str(q.offset + q.limit)) if q.limit else F.lit("")
+    return total.select("matched", F.when(F.col("matched") > q.offset + q.limit, more).otherwise("").alias("next_cursor"))
+
+
 def next_cursor(events: DataFrame, q: Query) -> str:
     """The cursor of the next page, or empty after the last."""
-    if not q.limit:
-        return ""
-    extra = search(events, replace(q, limit=q.limit + 1)).count()  # counts a page
-    return str(q.offset + q.limit) if extra > q.limit else ""
+    return page_summary(events, q).first()["next_cursor"] if q.limit else ""
 
 
 def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored and new events, one row for each identity: the stored one, or of those the first that arrived.
 
     Rows are dealt by all identity columns, so a busy tenant or stream spreads over many tasks."""
-    both = stored.unionByName(new).withColumn("stream_key", text.stream_key("tenant_id", "stream_labels"))
+    own = [c for c in stored.columns if c in new.columns]  # a stored table's day and the like are left out
+    both = stored.select(*own).unionByName(new.select(*own)).withColumn("stream_key", text.stream_key("tenant_id", "stream_labels"))
     first = Window.partitionBy(*IDENTITY).orderBy("tier", "ingest_seq")
     return both.withColumn("of_identity", F.row_number().over(first)).where("of_identity = 1").drop("of_identity")
 

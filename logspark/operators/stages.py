@@ -23,57 +23,72 @@ class Stage:
     config: dict[str, str] = field(default_factory=dict)
 
 
-#: What a stage makes: new columns, and where it fails.
-Made = tuple[dict[str, Column], Column]
+@dataclass
+class Made:
+    """What a stage makes: new columns and where it fails (None is nowhere). `steps` are helper columns that are worked
+    out before, one after the other, so that what is used often is computed once."""
 
+    columns: dict[str, Column] = field(default_factory=dict)
+    fails: Column | None = None
+    steps: tuple[dict[str, Column], ...] = ()
 
-def _fields(entries: Column, ok: Column) -> Made:
-    merged = text.overlay(F.col("parsed_fields"), entries)
-    return {"parsed_fields": F.when(ok, merged).otherwise(F.col("parsed_fields"))}, ~ok
+
+def _wrong() -> Made:
+    """A stage whose settings are at fault fails for every event."""
+    return Made(fails=F.lit(True))
 
 
 def _json(_: dict) -> Made:
     """Every key of the body, which must be one JSON object, becomes a field; nested values stay JSON text."""
     # In brackets anything after the first value shows: as bad JSON, or as a second element.
     whole = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
-    value = F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
-    kind = F.schema_of_variant(value)
-    is_object, is_null = F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.coalesce(kind == "VOID", F.lit(False))
-    values = F.when(is_object, value).cast("map<string,variant>")
-
-    def shown(_, v: Column) -> Column:
-        of = F.schema_of_variant(v)
-        number = F.try_variant_get(v, "$", "double")
+    first, one = F.get("__values", F.lit(0)), F.coalesce(F.size("__values") == 1, F.lit(False))
+    opened = {"__null": one & F.coalesce(F.is_variant_null(first), F.lit(False)), "__object": F.when(one, F.try_variant_get(first, "$", "map<string,variant>"))}
+    typed = F.transform(F.map_entries("__object"), lambda e: F.struct(
+        e["key"].alias("k"), F.schema_of_variant(e["value"]).alias("of"), e["value"].alias("v"), F.try_variant_get(e["value"], "$", "string").alias("shown")
+    ))
+
+    def shown(e: Column) -> Column:
+        number = text.number_text(F.try_variant_get(e["v"], "$", "double"))
         return (
-            F.when(of == "VOID", F.lit("<nil>"))
-            .when(of.isin("BIGINT", "DOUBLE", "FLOAT") | of.startswith("DECIMAL"), text.number_text(number))
-            .otherwise(F.try_variant_get(v, "$", "string"))
+            F.when(e["of"] == "VOID", F.lit("<nil>"))
+            .when((e["of"] == "BIGINT") & (F.length(e["shown"]) <= 15), e["shown"])
+            .when(e["of"].isin("BIGINT", "DOUBLE", "FLOAT") | e["of"].startswith("DECIMAL"), number)
+            .otherwise(e["shown"])
         )
 
-    entries = F.coalesce(F.transform_values(values, shown), empty_map())
-    return _fields(entries, is_object | is_null)
+    fields = F.map_from_entries(F.transform("__typed", lambda e: F.struct(e["k"], shown(e))))
+    steps = ({"__values": F.try_variant_get(whole, "$", "array<variant>")}, opened, {"__typed": typed}, {"__fields": fields})
+    merged = F.when(F.col("__fields").isNull(), F.col("parsed_fields")).otherwise(text.overlay(F.col("parsed_fields"), F.col("__fields")))
+    return Made({"parsed_fields": merged}, F.col("__fields").isNull() & ~F.col("__null"), steps)
 
 
 def _logfmt(_: dict) -> Made:
     """key=value between white space; quotes at both ends of a value go; the last of a key wins; nothing fails."""
-    pairs = F.filter(F.split("body", r"(?U)\s+"), lambda t: F.instr(t, "=") > 1)
     at = lambda t: F.instr(t, "=")
-    entries = F.transform(
-        pairs, lambda t: F.struct(F.substring(t, F.lit(1), at(t) - 1).alias("k"), F.btrim(F.substring(t, at(t) + 1, F.length(t)), F.lit('"')).alias("v"))
-    )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    return _fields(F.map_from_arrays(keys, F.transform(keys, last)), F.lit(True))
+    tokens = F.filter(F.split("body", r"(?U)\s+"), lambda t: at(t) > 1)
+    pairs = F.transform(tokens, lambda t: F.struct(F.substring(t, F.lit(1), at(t) - 1).alias("k"), F.btrim(F.substring(t, at(t) + 1, F.length(t)), F.lit('"')).alias("v")))
+    steps = ({"__pairs": text.sorted_pairs(pairs)}, {"__fields": text.map_of_sorted("__pairs")})
+    return Made({"parsed_fields": text.overlay(F.col("parsed_fields"), F.col("__fields"))}, steps=steps)
 
 
 def _regex(config: dict) -> Made:
     """Named groups of the first match become fields; no match changes nothing."""
-    pattern, names = regex.to_java(config["pattern"])
-    found = F.col("body").rlike(pattern)
+    if not config.get("pattern"):
+        return _wrong()
+    try:
+        pattern, names = regex.to_java(config["pattern"])
+    except ValueError:
+        return _wrong()
     if not names:
-        return {}, F.lit(False)
-    entries = F.create_map(*[x for name, k in names for x in (F.lit(name), F.regexp_extract("body", pattern, k))])
-    return {"parsed_fields": F.when(found, text.overlay(F.col("parsed_fields"), entries)).otherwise(F.col("parsed_fields"))}, F.lit(False)
+        return Made()
+    entries = F.map_from_entries(text_pairs([(name, F.regexp_extract("body", pattern, k)) for name, k in dict(names).items()]))
+    merged = F.when(F.col("__fields").isNull(), F.col("parsed_fields")).otherwise(text.overlay(F.col("parsed_fields"), F.col("__fields")))
+    return Made({"parsed_fields": merged}, steps=({"__fields": F.when(F.col("body").rlike(pattern), entries)},))
+
+
+def text_pairs(pairs: list[tuple[str, Column]]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in pairs])
 
 
 def _static(config: dict) -> Made:
@@ -85,7 +100,7 @@ def _static(config: dict) -> Made:
         if new:
             entries = F.create_map(*[F.lit(x) for kv in new.items() for x in kv])
             made[column] = text.overlay(F.col(column), entries)
-    return made, F.lit(False)
+    return Made(made)
 
 
 _RFC3339 = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)\z"
@@ -100,24 +115,28 @@ def rfc3339_ns(x: Column) -> Column:
 
 
 def _timestamp(config: dict) -> Made:
-    source, form = text.get("parsed_fields", config["source"]), config.get("format", "rfc3339") or "rfc3339"
+    """rfc3339, unix (seconds, cut to whole ones) or unix_nano, in any case; an event without the field stays as it is."""
+    if not config.get("source"):
+        return _wrong()
+    source, form = text.get("parsed_fields", config["source"]), (config.get("format") or "rfc3339").lower()
+    value = F.col("__value")
     if form == "rfc3339":
-        ns = rfc3339_ns(source)
+        ns = rfc3339_ns(value)
     elif form in ("unix", "unix_seconds"):
-        ns = F.when(F.try_to_number(source, F.lit("S999999999999D999999999")).isNotNull() | source.rlike(r"^[+-]?\d+(\.\d*)?\z"), F.floor(source.try_cast("double")).cast("long") * 1_000_000_000)
+        seconds = F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)\z"), value.try_cast("double"))
+        ns = F.when(F.abs(seconds) < 9_223_372_036, seconds).cast("long") * 1_000_000_000
     elif form == "unix_nano":
-        ns = F.when(source.rlike(r"^[+-]?\d+\z"), source.try_cast("long"))
+        ns = F.when(value.rlike(r"^[+-]?\d+\z"), value.try_cast("long"))
     else:
-        raise ValueError(f"unknown time format {form}")
-    given = source != ""
-    made = {"ts_ns": F.when(given, F.coalesce(ns, F.col("ts_ns"))).otherwise(F.col("ts_ns"))}
-    made["ts"] = F.when(given & ns.isNotNull(), F.timestamp_micros(F.floor(ns / 1000)).cast("timestamp_ntz")).otherwise(F.col("ts"))
-    return made, given & ns.isNull()
+        ns = F.lit(None).cast("long")
+    steps = ({"__value": source}, {"__ns": ns})
+    made = {"ts_ns": F.coalesce("__ns", "ts_ns"), "ts": F.coalesce(F.timestamp_micros(F.floor(F.col("__ns") / 1000)).cast("timestamp_ntz"), "ts")}
+    return Made(made, (value != "") & F.col("__ns").isNull(), steps)
 
 
 def _severity(config: dict) -> Made:
     value = F.lit(config["value"]) if config.get("value") else text.get("parsed_fields", config.get("source", ""))
-    return {"severity": F.when(value == "", F.col("severity")).otherwise(text.severity(value))}, F.lit(False)
+    return Made({"severity": F.when(value == "", F.col("severity")).otherwise(text.severity(value))})
 
 
 def anywhere(name: str) -> Column:
@@ -125,29 +144,39 @@ def anywhere(name: str) -> Column:
     return text.first_non_blank(*[text.get(m, name) for m in ("parsed_fields", "stream_labels", "resource_attrs", "log_attrs")])
 
 
+def _word(config: dict, key: str, default: str) -> str:
+    """A setting in small letters; blank ones are the default."""
+    value = config.get(key) or ""
+    return (value if value.strip() else default).lower()
+
+
 def _filter(config: dict) -> Made:
-    name, value = config.get("field", ""), config.get("value", "")
-    if not name:
-        return {}, F.lit(True)
+    name, value, op = config.get("field", ""), config.get("value", ""), _word(config, "op", "equals")
     have = anywhere(name)
     tests = {"equals": have == value, "not_equals": have != value, "contains": F.contains(have, F.lit(value))}
-    hit = tests[(config.get("op") or "equals").lower()]
-    return ({"dropped": F.col("dropped") | hit} if (config.get("action") or "drop").lower() == "drop" else {}), F.lit(False)
+    if not name or op not in tests:
+        return _wrong()
+    return Made({"dropped": F.col("dropped") | tests[op]} if _word(config, "action", "drop") == "drop" else {})
 
 
 def _rename(config: dict) -> Made:
-    old, new, target = config["from"], config["to"], config.get("target") or "parsed"
-    column = "stream_labels" if target == "label" else "parsed_fields"
+    old, new = config.get("from"), config.get("to")
+    column = {"label": "stream_labels", "parsed": "parsed_fields"}.get(_word(config, "target", "parsed"))
+    if not old or not new or not column:
+        return _wrong()
     m = F.col(column)
-    return {column: F.when(F.map_contains_key(m, old), text.put(text.without(m, old), new, F.element_at(m, old))).otherwise(m)}, F.lit(False)
+    return Made({column: F.when(F.map_contains_key(m, old), text.put(text.without(m, old), new, F.element_at(m, old))).otherwise(m)})
 
 
 def _redact(config: dict) -> Made:
-    name, instead = config["field"], config.get("replacement") or "[REDACTED]"
-    if (config.get("target") or "parsed") == "body":
-        return {"body": F.replace(F.col("body"), F.lit(name), F.lit(instead))}, F.lit(False)
+    name, target, instead = config.get("field"), _word(config, "target", "parsed"), config.get("replacement") or ""
+    instead = instead if instead.strip() else "[REDACTED]"
+    if not name or target not in ("parsed", "body"):
+        return _wrong()
+    if target == "body":
+        return Made({"body": F.replace(F.col("body"), F.lit(name), F.lit(instead))})
     m = F.col("parsed_fields")
-    return {"parsed_fields": F.transform_values(m, lambda k, v: F.when(k == name, F.lit(instead)).otherwise(v))}, F.lit(False)
+    return Made({"parsed_fields": F.transform_values(m, lambda k, v: F.when(k == name, F.lit(instead)).otherwise(v))})
 
 
 STAGES: dict[str, Callable[[dict], Made]] = {
@@ -157,39 +186,50 @@ STAGES: dict[str, Callable[[dict], Made]] = {
 
 
 def run_stages(events: DataFrame, stages: list[Stage]) -> DataFrame:
-    """Events -> events with `dropped`, `failed` and `errors`. A failing stage with ignore_error keeps what it made."""
+    """Events -> events with `dropped`, `failed` and `errors`. A failing stage with ignore_error keeps what it made.
+
+    Settings at fault (no pattern, unknown operation, ...) are errors of the stage, for each event; only an unknown
+    type of stage is refused at once."""
     df = events.withColumns({"dropped": F.lit(False), "failed": F.lit(None).cast("string"), "errors": F.array().cast("array<string>")})
     for stage in stages:
         if stage.type not in STAGES:
             raise ValueError(f"unknown stage type {stage.type}")
-        made, fails = STAGES[stage.type](stage.config)
+        made = STAGES[stage.type](stage.config)
+        for step in made.steps:
+            df = df.withColumns(step)
         live = ~F.col("dropped") & F.col("failed").isNull()
-        wrong = live & F.coalesce(fails, F.lit(False))
-        took = live & F.coalesce(made["dropped"], F.lit(False)) if "dropped" in made else F.lit(False)
-        new = {c: F.when(live, v).otherwise(F.col(c)) for c, v in made.items()}
-        if stage.config.get("ignore_error") != "true":
-            new["failed"] = F.when(wrong, F.lit(stage.name)).otherwise(F.col("failed"))
-        new["errors"] = F.when(wrong | took, F.array_append("errors", F.lit(stage.name))).otherwise(F.col("errors"))
-        df = df.withColumns(new)
+        new = {c: F.when(live, v).otherwise(F.col(c)) for c, v in made.columns.items()}
+        hits = []
+        if made.fails is not None:
+            wrong = live & F.coalesce(made.fails, F.lit(False))
+            hits.append(wrong)
+            if stage.config.get("ignore_error") != "true":
+                new["failed"] = F.when(wrong, F.lit(stage.name)).otherwise(F.col("failed"))
+        if "dropped" in made.columns:
+            hits.append(live & made.columns["dropped"])
+        if hits:
+            hit = hits[0] if len(hits) == 1 else hits[0] | hits[1]
+            new["errors"] = F.when(hit, F.array_append("errors", F.lit(stage.name))).otherwise(F.col("errors"))
+        df = df.withColumns(new).drop(*[name for step in made.steps for name in step])
     return df
 
 
 def promote(events: DataFrame, reserved: list[str], allow: list[str], deny: list[str]) -> DataFrame:
     """Reserved labels come from wherever an event has them first; allowed fields become labels where none is; the
     severity becomes one where none is. Dropped and failed events, if marked, stay as they are."""
-    labels = F.col("stream_labels")
-    for name in reserved:
-        value = text.first_non_blank(*[text.get(m, name) for m in ("stream_labels", "parsed_fields", "resource_attrs", "log_attrs")])
-        labels = F.when(value != "", text.put(labels, name, value)).otherwise(labels)
+    places = ("stream_labels", "parsed_fields", "resource_attrs", "log_attrs")
+    found = text_pairs([(name, text.first_non_blank(*[text.get(m, name) for m in places])) for name in dict.fromkeys(reserved)]) if reserved else None
+    taken = F.map_from_entries(F.filter(found, lambda p: p["v"] != "")) if reserved else empty_map()
     allowed = F.map_filter("parsed_fields", lambda k, v: k.isin(*allow) & ~k.isin(*deny) & ~text.blank(v)) if allow else empty_map()
-    labels = text.overlay(allowed, F.map_filter(labels, lambda _, v: ~text.blank(v)))
+    df = events.withColumns({"__taken": taken, "__allowed": allowed})
+    df = df.withColumn("__own", F.map_filter(text.overlay(F.col("stream_labels"), F.col("__taken")), lambda _, v: ~text.blank(v)))
+    df = df.withColumn("__labels", text.overlay(F.col("__allowed"), F.col("__own")))
+    labels = F.col("__labels")
     if "severity" in reserved or "severity" in allow:
-        now = labels
-        labels = F.when((text.get(now, "severity") == "") & (F.col("severity") != ""), text.put(now, "severity", F.col("severity"))).otherwise(now)
-    live = F.lit(True)
-    if "failed" in events.columns:
-        live = ~F.col("dropped") & F.col("failed").isNull()
-    return events.withColumn("stream_labels", F.when(live, labels).otherwise(F.col("stream_labels")))
+        labels = F.when((text.get("__labels", "severity") == "") & (F.col("severity") != ""), text.put(labels, "severity", F.col("severity"))).otherwise(labels)
+    live = ~F.col("dropped") & F.col("failed").isNull() if "failed" in events.columns else F.lit(True)
+    df = df.withColumn("stream_labels", F.when(live, labels).otherwise(F.col("stream_labels")))
+    return df.drop("__taken", "__allowed", "__own", "__labels")
 
 
 def stage_stats(events: DataFrame) -> DataFrame:

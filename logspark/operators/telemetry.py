@@ -45,19 +45,49 @@ def error_ratio(requests: DataFrame, span: str = "5 minutes") -> DataFrame:
 def exposition(requests: DataFrame) -> DataFrame:
     """Counters and histograms as lines of Prometheus' text format."""
     by = ["method", "path", "status"]
-    label = lambda *more: F.concat(*[p for k in by for p in (F.lit(f'{k}="'), F.col(k).cast("string"), F.lit('",' if k != by[-1] or more else '"'))], *more)
+    slashes = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    label = lambda *more: F.concat(*[p for k in by for p in (F.lit(f'{k}="'), slashes(F.col(k).cast("string")), F.lit('",' if k != by[-1] or more else '"'))], *more)
     line = lambda name, labels, value: F.concat(F.lit(name + "{"), labels, F.lit("} "), value.cast("string")).alias("line")
     counts = request_counts(requests).select(line("http_requests_total", label(), F.col("requests")))
     buckets = latency_histogram(requests, *by).select(line("http_request_duration_seconds_bucket", label(F.lit('le="'), F.col("le"), F.lit('"')), F.col("cumulative")))
-    return counts.unionByName(buckets)
+    sums = requests.groupBy(*by).agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
+    name = "http_request_duration_seconds"
+    totals = sums.select(F.explode(F.array(line(f"{name}_sum", label(), F.round("seconds", 6)), line(f"{name}_count", label(), F.col("n")))).alias("line"))
+    return counts.unionByName(buckets).unionByName(totals)
+
+
+#: Thresholds of the alerts.
+ERROR_RATIO, P95_SECONDS, LAG, COMPACTION_SECONDS = 0.05, 3.0, 1000.0, 1800.0
+
+
+def by_window(requests: DataFrame, span: str = "5 minutes") -> DataFrame:
+    """window_start, ratio (of statuses from 500 on), p95: the measures of each span of time."""
+    counts = F.array(*[F.count_if(F.col("seconds") <= b) for b in BOUNDS], F.count("*"))
+    rows = requests.groupBy(F.window("ts", span)["start"].alias("window_start")).agg((F.count_if(F.col("status") >= 500) / F.count("*")).alias("ratio"), counts.alias("n"))
+    return rows.select("window_start", "ratio", histogram_quantile(0.95, F.col("n")).alias("p95"))
+
+
+def held_alerts(requests: DataFrame, span: str = "5 minutes", windows: int = 2) -> DataFrame:
+    """window_start, alert, value, firing: errors and latency are over their thresholds in this window and in each of the
+    windows before that make up the time that an alert is held for. Windows without requests end it."""
+    value = F.explode(F.array(
+        F.struct(F.lit("errors").alias("alert"), F.col("ratio").alias("value"), (F.col("ratio") > ERROR_RATIO).alias("over")),
+        F.struct(F.lit("latency").alias("alert"), F.col("p95").alias("value"), (F.col("p95") > P95_SECONDS).alias("over")),
+    ))
+    rows = by_window(requests, span).select("window_start", value.alias("a")).select("window_start", "a.*")
+    # A window adds itself to those after it, so that no task sorts all windows.
+    held = rows.where("over").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.col("window_start") + k * F.expr(f"INTERVAL {span}"))).alias("window_start"), "alert")
+    held = held.groupBy("window_start", "alert").agg(F.count("*").alias("n"))
+    joined = rows.join(held, ["window_start", "alert"], "left")
+    return joined.select("window_start", "alert", "value", (F.coalesce("n", F.lit(0)) == windows).alias("firing"))
 
 
 def alerts(requests: DataFrame, lags: DataFrame, compacted_seconds_ago: float) -> DataFrame:
-    """alert, value, firing: error ratio over 5 %, 95th percentile over 3 s, lag over 1000, compaction over 1800 s ago."""
+    """alert, value, firing: error ratio, 95th percentile, lag and time since the last compaction, over all that is given."""
     counts = F.array(*[F.count_if(F.col("seconds") <= b) for b in BOUNDS], F.count("*"))
     one = requests.agg((F.count_if(F.col("status") >= 500) / F.count("*")).alias("errors"), counts.alias("n")).select("errors", histogram_quantile(0.95, F.col("n")).alias("p95"))
     worst = lags.agg(F.max("lag").cast("double").alias("lag"))
-    rows = one.select(F.explode(F.array(F.struct(F.lit("errors").alias("alert"), F.col("errors").alias("value"), F.lit(0.05).alias("over")), F.struct(F.lit("latency").alias("alert"), F.col("p95").alias("value"), F.lit(3.0).alias("over")))).alias("a")).select("a.*")
-    rows = rows.unionByName(worst.select(F.lit("lag").alias("alert"), F.col("lag").alias("value"), F.lit(1000.0).alias("over")))
-    rows = rows.unionByName(worst.select(F.lit("compaction").alias("alert"), F.lit(float(compacted_seconds_ago)).alias("value"), F.lit(1800.0).alias("over")))
+    rows = one.select(F.explode(F.array(F.struct(F.lit("errors").alias("alert"), F.col("errors").alias("value"), F.lit(ERROR_RATIO).alias("over")), F.struct(F.lit("latency").alias("alert"), F.col("p95").alias("value"), F.lit(P95_SECONDS).alias("over")))).alias("a")).select("a.*")
+    rows = rows.unionByName(worst.select(F.lit("lag").alias("alert"), F.col("lag").alias("value"), F.lit(LAG).alias("over")))
+    rows = rows.unionByName(worst.select(F.lit("compaction").alias("alert"), F.lit(float(compacted_seconds_ago)).alias("value"), F.lit(COMPACTION_SECONDS).alias("over")))
     return rows.select("alert", "value", (F.col("value") > F.col("over")).alias("firing"))

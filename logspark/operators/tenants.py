@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .stages import STAGES, Stage
+from .stages import STAGES, Stage, promote, run_stages, violation
 
 #: What a new tenant starts with.
 RESERVED = ("service", "namespace", "cluster", "env", "severity", "region")
@@ -47,6 +48,42 @@ class Tenant:
                     raise ValueError(f"unknown or unnamed stage {s.type!r}")
 
 
+def default_pipeline(ignore_json_errors: bool = True, logfmt: bool = True) -> list[Stage]:
+    """What tenants without a pipeline have: JSON, logfmt, the field `timestamp` as time, the field `level` as severity."""
+    ignore = {"ignore_error": "true"}
+    steps = [Stage("json", "json", ignore if ignore_json_errors else {})]
+    steps += [Stage("logfmt", "logfmt")] if logfmt else []
+    return [*steps, Stage("timestamp", "timestamp", {"source": "timestamp", "format": "rfc3339", **ignore}), Stage("severity", "severity", {"source": "level", **ignore})]
+
+
+def pipeline_of(tenant: Tenant, default: list[Stage] | None = None) -> list[Stage]:
+    """The active pipeline, or the first, or the default one."""
+    if tenant.pipelines:
+        return tenant.pipelines[tenant.active or next(iter(tenant.pipelines))]
+    return default_pipeline() if default is None else default
+
+
+def ingested(events: DataFrame, tenants: list[Tenant], default: list[Stage] | None = None) -> DataFrame:
+    """Events through their tenants' pipelines, promotion and limits: adds `dropped`, `failed`, `errors` and `broken`,
+    the stage or rule that an event fails, `unknown_tenant`, or null.
+
+    Tenants with the same settings share a branch, so there are as many as there are different settings."""
+    groups: dict[str, list[Tenant]] = {}
+    for t in tenants:
+        own = (pipeline_of(t, default), t.reserved, t.allow, t.deny, t.max_labels, t.max_body, t.max_fields, t.max_value)
+        groups.setdefault(repr(own), []).append(t)
+    none = {"dropped": F.lit(False), "failed": F.lit("unknown_tenant"), "errors": F.array().cast("array<string>")}
+    known = F.coalesce(F.col("tenant_id").isin([t.tenant_id for t in tenants]), F.lit(False))
+    out = events.where(~known).withColumns(none).withColumn("broken", F.col("failed"))
+    for own in groups.values():
+        t = own[0]
+        rows = run_stages(events.where(F.col("tenant_id").isin([x.tenant_id for x in own])), pipeline_of(t, default))
+        rows = promote(rows, list(t.reserved), list(t.allow), list(t.deny))
+        rule = violation(t.max_labels, t.max_body, t.max_fields, t.max_value)
+        out = out.unionByName(rows.withColumn("broken", F.coalesce("failed", F.when(~F.col("dropped"), rule))))
+    return out
+
+
 def changed(tenant: Tenant, **new) -> Tenant:
     """The tenant with other settings, one version on. New searchable fields share one with the old, if there are any."""
     if "searchable" in new:

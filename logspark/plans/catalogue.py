@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunks, lifecycle, placement, quota, search, stages, telemetry
+from ..operators import chunks, lifecycle, placement, quota, search, selector, stages, telemetry, tenants
 from ..sources import payloads, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,8 +83,64 @@ def tail_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND service = 'purchase' AND contains(lower(body), 'k42') ORDER BY ts, ingest_seq LIMIT 100")
 def loki_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What {{service="purchase"}} |= "k42" asks for, given as conditions."""
-    return search.search(tables.driver_events(spark, sf_dir), _q(labels={"service": "purchase"}, contains="k42", limit=100)).select(*_OUT)
+    """A selector with a line filter and times as texts."""
+    asked = {"query": '{service="purchase"} |= "k42"', "start": "2024-01-05T00:00:00Z", "end": str(_ns(_END)), "limit": "100"}
+    return search.search(tables.driver_events(spark, sf_dir), selector.request(asked, True, "tenant-1")).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND regexp_matches(body, '(?i)\"SERVICE\":\"[[:alpha:]]+\",\"level\":\"(?:warn|ERR)[^[:digit:]&&]+\"')")
+def search_regex_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of any case, named classes, and characters that mean more to Java than to RE2."""
+    pattern = r'''(?i)"SERVICE":"[[:alpha:]]+","level":"(?:warn|ERR)[^[:digit:]&&]+"'''
+    return search.search(tables.driver_events(spark, sf_dir), _q(regex=pattern)).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND strftime(ts, '%Y-%m-%d/%H') = '2024-01-10/13'")
+def search_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hour's segment."""
+    return search.search(tables.driver_events(spark, sf_dir), _q(bucket="2024-01-10/13")).select(*_OUT)
+
+
+@register(f"SELECT count(*) AS matched, CASE WHEN count(*) > 100 THEN '100' ELSE '' END AS next_cursor FROM e WHERE {_RANGE} AND env = 'prod'")
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.page_summary(tables.driver_events(spark, sf_dir), _q(labels={"env": "prod"}, limit=50, cursor="50"))
+
+
+_written: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events and their chunks' summaries as stored tables, written once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        paths = tables.work_folder(spark, "events") + "/t", tables.work_folder(spark, "summaries") + "/t"
+        tables.write_events(tables.driver_events(spark, sf_dir), paths[0], "overwrite")
+        tables.write_summaries(chunks.segment_summaries(tables.driver_events(spark, sf_dir)), paths[1], "overwrite")
+        _written[key] = paths
+    return tuple(tables.read_events(spark, p) for p in _written[key])
+
+
+_HOST = f"{_RANGE} AND env = 'prod' AND host = 'h4' AND contains(lower(body), '\"error\",\"level\"')"
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND env = 'prod' AND contains(lower(body), 'error') ORDER BY ts, ingest_seq LIMIT 100")
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship search over a stored table: days, row groups by tenant and time."""
+    return search.search(stored(spark, sf_dir)[0], _q(labels={"env": "prod"}, contains="ERROR", limit=100)).select(*_OUT)
+
+
+@register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_HOST}")
+def search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only events of chunks whose summaries may hold labels, field and tokens."""
+    events, summaries = stored(spark, sf_dir)
+    return search.pruned_search(events, summaries, _q(labels={"env": "prod"}, fields={"host": "h4"}, contains='"error","level"')).select(*_OUT)
+
+
+@register(f"SELECT count(*) AS candidate_chunks, count(DISTINCT stream_key) AS candidate_streams, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidate_events, count(*) * 3 AS cost FROM (SELECT stream_key, count(*) AS n FROM e WHERE tenant_id = 'tenant-1' AND env = 'prod' GROUP BY stream_key, date_trunc('hour', ts) HAVING min(ts) <= TIMESTAMP '{_END}' AND max(ts) >= TIMESTAMP '{_START}' AND bool_or(service = 'error'))")
+def explain_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the summaries leave of a search. The token `error` is in the bodies of error events' streams alone."""
+    q = _q(labels={"env": "prod"}, fields={"host": "h4"}, contains='"error","level"')
+    return search.explain(stored(spark, sf_dir)[1], q)
 
 
 @register("SELECT ingest_seq, ts, tenant_id, body, 0 AS tier FROM e")
@@ -196,8 +252,7 @@ def _shown(m: Column) -> Column:
 
 
 def _default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = [stages.Stage("json", "json", {"ignore_error": "true"}), stages.Stage("logfmt", "logfmt"), stages.Stage("severity", "severity", {"source": "level"})]
-    done = stages.run_stages(tables.driver_events(spark, sf_dir), steps)
+    done = stages.run_stages(tables.driver_events(spark, sf_dir), tenants.default_pipeline())
     return stages.promote(done, ["service", "env", "severity"], ["status_code", "user"], ["user"])
 
 
@@ -226,13 +281,47 @@ def admission_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT ingest_seq, e.tenant_id, coalesce(t.days, -1) AS retention_days FROM e LEFT JOIN (VALUES ('tenant-0', 10), ('tenant-1', 20)) t(tenant_id, days) ON e.tenant_id = t.tenant_id")
 def tenant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, unknown = lifecycle.with_tenant(tables.driver_events(spark, sf_dir), tables.tenants_table(spark))
-    return known.select("ingest_seq", "tenant_id", "retention_days").unionByName(unknown.select("ingest_seq", "tenant_id", F.lit(-1).alias("retention_days")))
+    rows = lifecycle.with_tenant(tables.driver_events(spark, sf_dir), tables.tenants_table(spark))
+    return rows.select("ingest_seq", "tenant_id", F.coalesce("retention_days", F.lit(-1)).alias("retention_days"))
+
+
+@register("SELECT ingest_seq, CASE tenant_id WHEN 'tenant-0' THEN 'info' WHEN 'tenant-1' THEN CASE lower(level) WHEN 'warning' THEN 'warn' ELSE lower(level) END ELSE '' END AS severity, CASE tenant_id WHEN 'tenant-2' THEN 'unknown_tenant' WHEN 'tenant-0' THEN CASE WHEN strlen(body) > 80 THEN 'body_bytes' ELSE 'none' END ELSE 'none' END AS broken FROM e")
+def tenant_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tenant has a pipeline and limits of its own, one the defaults, one isn't known."""
+    own = {"own": [stages.Stage("json", "json"), stages.Stage("severity", "severity", {"value": "INFO"})]}
+    known = [tenants.Tenant("tenant-0", pipelines=own, active="own", max_body=80), tenants.Tenant("tenant-1")]
+    done = tenants.ingested(tables.driver_events(spark, sf_dir), known)
+    return done.select("ingest_seq", "severity", F.coalesce("broken", F.lit("none")).alias("broken"))
 
 
 def _payload(spark: SparkSession, sf_dir: str, payload: Column) -> DataFrame:
     e = tables.driver_events(spark, sf_dir)
-    return e.select(F.lit(0).cast("long").alias("arrival"), payload.alias("payload"))
+    return e.select(F.col("ingest_seq").alias("arrival"), payload.alias("payload"))
+
+
+def _native(spark: SparkSession, sf_dir: str, time: Column) -> DataFrame:
+    one = F.struct(time.alias("timestamp"), "tenant_id", "stream_labels", "body", F.map_concat("resource_attrs").alias("log_attrs"))
+    two = F.struct(F.lit(None).cast("string").alias("timestamp"), "tenant_id", "stream_labels", F.lit("second").alias("body"), F.lit(None).cast("map<string,string>").alias("log_attrs"))
+    return _payload(spark, sf_dir, F.to_json(F.struct(F.array(one, two).alias("events"))))
+
+
+@register("SELECT ingest_seq * 1048576 AS ingest_seq, CAST(epoch_us(ts) AS BIGINT) * 1000 AS ts_ns, tenant_id, body, env, host FROM e UNION ALL SELECT ingest_seq * 1048576 + 1, 7, tenant_id, 'second', env, '' FROM e")
+def native_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two events a payload; the second has no time and gets the given one."""
+    rows = payloads.read_native(_native(spark, sf_dir, _rfc3339()), F.lit(7))
+    return rows.select("ingest_seq", "ts_ns", "tenant_id", "body", text.get("stream_labels", "env").alias("env"), text.get("log_attrs", "host").alias("host"))
+
+
+def _rfc3339() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+@register("SELECT ingest_seq AS arrival, CASE ingest_seq % 3 WHEN 1 THEN 'time' ELSE 'json' END AS reason FROM e WHERE ingest_seq % 3 > 0")
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three payloads one is good, one has a time that can't be read, and one is cut off."""
+    good = _native(spark, sf_dir, F.when(F.col("ingest_seq") % 3 == 1, "yesterday").otherwise(_rfc3339()))
+    cut = F.when(F.col("arrival") % 3 == 2, F.substring("payload", 1, 40)).otherwise(F.col("payload"))
+    return payloads.rejects(good.withColumn("payload", cut), "native").select("arrival", "reason")
 
 
 @register("SELECT CAST(epoch_us(ts) AS BIGINT) * 1000 AS ts_ns, tenant_id, body, host AS resource_host, service AS attr_service, level AS severity FROM e")
@@ -278,7 +367,7 @@ def chunk_summary_count_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def chunk_builder_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = chunks.build_chunks(tables.driver_events(spark, sf_dir), 50, 4096, 600_000_000_000)
-    return built.groupBy("stream_key", "bucket", "chunk").agg(F.count("*").alias("event_count"))
+    return built.groupBy("stream_key", "chunk").agg(F.count("*").alias("event_count"))
 
 
 @register("SELECT stream_key, count(DISTINCT token) AS tokens FROM (SELECT stream_key, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS token FROM e) WHERE token <> '' GROUP BY 1")
@@ -288,7 +377,16 @@ def tokens_per_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("stream_key").agg(F.countDistinct("token").alias("tokens"))
 
 
-@register()
+_TOKENS = """, c AS (SELECT stream_key, body, (row_number() OVER (PARTITION BY stream_key ORDER BY ts, ingest_seq) - 1) // 20 AS chunk FROM e),
+  t AS (SELECT DISTINCT stream_key, chunk, token FROM (SELECT stream_key, chunk, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS token FROM c) WHERE token <> ''),
+  h AS (SELECT token, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(token, ''), lambda x: ascii(x)::HUGEINT)),
+    lambda a, b: (xor(a::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616) AS h FROM (SELECT DISTINCT token FROM t UNION SELECT unnest(['k42', 'error']))),
+  b AS (SELECT token, [(h // (65536::HUGEINT ** k)::HUGEINT) % 64 + 64 * k FOR k IN [0, 1, 2, 3]] AS bits FROM h),
+  m AS (SELECT stream_key, chunk, list(DISTINCT bit) AS have, max(has) AS has FROM (SELECT stream_key, chunk, unnest(bits) AS bit, token = 'k42' AS has FROM t JOIN b USING (token)) GROUP BY 1, 2)
+  SELECT stream_key, chunk, (SELECT bool_and(list_has_all(have, bits)) FROM b WHERE token IN ('k42', 'error')) AS may, has AS has_k42 FROM m"""
+
+
+@register(_TOKENS)
 def bloom_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = chunks.numbered(tables.driver_events(spark, sf_dir)).withColumn("chunk", F.floor(F.col("at") / 20))
     s = chunks.summaries(e, "stream_key", "chunk")
@@ -304,7 +402,7 @@ def explain_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.agg(F.count("*").alias("candidate_chunks"), F.countDistinct("stream_key").alias("candidate_streams"), (F.count("*") * (1 + len(q.labels) + len(q.fields))).alias("cost"))
 
 
-@register()
+@register()  # CRC-32 isn't in SQL
 def queue_partition_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lifecycle.enqueue(tables.driver_events(spark, sf_dir), "logs.normalized.v1")
     commits = m.groupBy("topic", "partition").agg(F.floor(F.max("offset") * 0.75).alias("committed"))
@@ -427,7 +525,16 @@ def http_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.latency_histogram(_requests(spark, sf_dir), "path")
 
 
-@register()
+def _p95(key: str) -> str:
+    """SQL: the 95th percentile of a histogram for each key, as table q."""
+    bounds = ", ".join(f"({i + 1}, {b}::DOUBLE)" for i, b in enumerate((*telemetry.BOUNDS, 1e300)))
+    return f""", c AS (SELECT {key} AS key, i, b, count(*) FILTER (value / 100 <= b) AS n FROM e, (VALUES {bounds}) v(i, b) GROUP BY ALL),
+  r AS (SELECT key, max(n) * 0.95::DOUBLE AS rank FROM c GROUP BY 1), p AS (SELECT key, rank, min(i) FILTER (n >= rank) AS bin FROM c JOIN r USING (key) GROUP BY ALL),
+  q AS (SELECT p.key, CASE WHEN bin > 10 THEN 5.0::DOUBLE ELSE coalesce(lo.b, 0::DOUBLE) + (hi.b - coalesce(lo.b, 0::DOUBLE)) * (rank - coalesce(lo.n, 0)) / (hi.n - coalesce(lo.n, 0)) END AS p95
+    FROM p JOIN c hi ON hi.key = p.key AND hi.i = bin LEFT JOIN c lo ON lo.key = p.key AND lo.i = bin - 1)"""
+
+
+@register(_p95("'/' || service") + " SELECT key AS path, p95 FROM q")
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = F.array(*[F.count_if(F.col("seconds") <= b) for b in telemetry.BOUNDS], F.count("*"))
     rows = _requests(spark, sf_dir).groupBy("path").agg(counts.alias("n"))
@@ -439,12 +546,24 @@ def error_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.error_ratio(_requests(spark, sf_dir))
 
 
-@register("SELECT 'http_requests_total{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\"} ' || count(*) AS line FROM e GROUP BY service, code UNION ALL SELECT 'http_request_duration_seconds_bucket{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\",le=\"' || le || '\"} ' || count(*) FILTER (value / 100 <= b) FROM e, (VALUES ('0.005', 0.005::DOUBLE), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.0', 2.0), ('5.0', 5.0), ('+Inf', 1e300)) v(le, b) GROUP BY service, code, le")
+@register("SELECT 'http_requests_total{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\"} ' || count(*) AS line FROM e GROUP BY service, code UNION ALL SELECT 'http_request_duration_seconds_bucket{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\",le=\"' || le || '\"} ' || count(*) FILTER (value / 100 <= b) FROM e, (VALUES ('0.005', 0.005::DOUBLE), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.0', 2.0), ('5.0', 5.0), ('+Inf', 1e300)) v(le, b) GROUP BY service, code, le UNION ALL SELECT 'http_request_duration_seconds_sum{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\"} ' || round(sum(value / 100), 6) FROM e GROUP BY service, code UNION ALL SELECT 'http_request_duration_seconds_count{method=\"POST\",path=\"/' || service || '\",status=\"' || code || '\"} ' || count(*) FROM e GROUP BY service, code")
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.exposition(_requests(spark, sf_dir))
 
 
-@register()
+_OVER = """, w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) FILTER (service = 'error') / count(*) AS ratio FROM e GROUP BY 1),
+  a AS (SELECT window_start, 'errors' AS alert, ratio AS value, ratio > 0.05 AS over FROM w UNION ALL SELECT key, 'latency', p95, p95 > 3 FROM q)
+  SELECT a.window_start, a.alert, a.value, a.over AND coalesce(b.over, false) AS firing FROM a LEFT JOIN a b ON b.alert = a.alert AND b.window_start = a.window_start - INTERVAL 5 MINUTE"""
+
+
+@register(_p95("time_bucket(INTERVAL 5 MINUTE, ts)") + _OVER)
+def alerts_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error ratio and latency of five minutes, over their thresholds for ten."""
+    return telemetry.held_alerts(_requests(spark, sf_dir))
+
+
+@register(_p95("1") + """ SELECT 'errors' AS alert, count(*) FILTER (service = 'error') / count(*) AS value, count(*) FILTER (service = 'error') / count(*) > 0.05 AS firing FROM e
+  UNION ALL SELECT 'latency', p95, p95 > 3 FROM q UNION ALL SELECT 'lag', max(n) - 5, max(n) - 5 > 1000 FROM (SELECT count(*) AS n FROM e GROUP BY service) UNION ALL SELECT 'compaction', 1200, false""")
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
     return telemetry.alerts(_requests(spark, sf_dir), lifecycle.lag(m, m.select("topic", "partition", F.lit(5).alias("committed")).distinct()), 1200)

@@ -33,16 +33,18 @@ def empty_map():
     return F.create_map().cast(_MAP)
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Any table with some of the columns -> all of them in order: missing and null texts are empty, missing and null
-    maps have no keys, `ts_ns` comes from `ts` and `ts` from `ts_ns` where only one is there."""
+def canonical(df: DataFrame, *more: str) -> DataFrame:
+    """Any table with some of the columns -> all of them in order, and those of `more`: missing and null texts are
+    empty, missing and null maps have no keys, `ts_ns` comes from `ts` and `ts` from `ts_ns` where only one is there."""
     have = set(df.columns)
     made = {}
     for f in EVENT_SCHEMA:
-        if f.name == "ts" and "ts" not in have:
-            column = F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).cast("timestamp_ntz")
-        elif f.name == "ts_ns" and "ts_ns" not in have:
-            column = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+        if f.name == "ts" and "ts_ns" in have:
+            made_up = F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).cast("timestamp_ntz")
+            column = F.coalesce("ts", made_up) if "ts" in have else made_up
+        elif f.name == "ts_ns" and "ts" in have:
+            made_up = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+            column = F.coalesce("ts_ns", made_up) if "ts_ns" in have else made_up
         elif f.name not in have:
             column = empty_map() if f.dataType == _MAP else F.lit({"ingest_seq": 0, "tier": 0}.get(f.name, ""))
         elif f.dataType == _MAP:
@@ -52,4 +54,4 @@ def canonical(df: DataFrame) -> DataFrame:
         else:
             column = F.col(f.name)
         made[f.name] = column.cast(f.dataType)
-    return df.select(*[c.alias(n) for n, c in made.items()])
+    return df.select(*[c.alias(n) for n, c in made.items()], *more)

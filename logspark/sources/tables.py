@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +15,34 @@ from ..schema import EVENT_SCHEMA, canonical
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by day, sorted in each file so that row groups can be skipped by tenant and time."""
-    rows = events.select(*EVENT_SCHEMA.fieldNames()).withColumn("day", F.to_date("ts"))
-    rows.repartition("day", F.pmod(F.xxhash64("tenant_id", "ts_ns", "body"), F.lit(16))).sortWithinPartitions("day", "tenant_id", "ts").write.mode(mode).option("compression", "zstd").partitionBy("day").parquet(path)
+    """Parquet by day, sorted in each file so that row groups can be skipped by tenant and time. `stream_key` and the
+    hour's `bucket` are stored with the events, for searches by summaries."""
+    added = {"stream_key": text.stream_key("tenant_id", "stream_labels"), "bucket": text.bucket(F.col("ts")), "day": F.to_date("ts")}
+    rows = events.select(*EVENT_SCHEMA.fieldNames()).withColumns(added)
+    dealt = rows.repartition("day", F.pmod(F.xxhash64("tenant_id", "ts_ns", "body"), F.lit(16)))
+    dealt.sortWithinPartitions("day", "tenant_id", "ts").write.mode(mode).option("compression", "zstd").partitionBy("day").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+    """The event table with `stream_key`, `bucket` and `day`; conditions on the day leave out whole folders."""
+    return spark.read.parquet(path)
+
+
+def write_summaries(summaries: DataFrame, path: str, mode: str = "append") -> None:
+    """Chunk summaries beside their events, by day."""
+    summaries.write.mode(mode).option("compression", "zstd").partitionBy("day").parquet(path)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share: in spark.checkpoint.dir, or in local mode a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/logs-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: there is no folder that all executors share")
+    folder = tempfile.mkdtemp(prefix=f"logs-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def write_requests_json(df: DataFrame, path: str) -> None:

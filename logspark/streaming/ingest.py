@@ -12,9 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lifecycle import after_failure
 from ..operators.stages import Stage, promote, run_stages, violation
-from ..schema import EVENT_SCHEMA
-
-MESSAGE = "topic string, ingest_seq long, attempts int, last_error string, ts timestamp_ntz, tenant_id string, stream_labels map<string,string>, body string, severity string"
+from ..schema import EVENT_SCHEMA, canonical
+from ..sources.kafka import MESSAGE
 
 
 def message_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
@@ -22,6 +21,17 @@ def message_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFr
     return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files).json(folder)
 
 
+def payload_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
+    """payload, one for each line of the folder's files, and `arrival`, which orders them."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+    return lines.select(F.unix_millis("_metadata.file_modification_time").alias("arrival"), F.col("value").alias("payload"))
+
+
+def event_of(messages: DataFrame) -> DataFrame:
+    """Messages -> events that know how often they were tried."""
+    return canonical(messages.withColumn("attempts", F.coalesce("attempts", F.lit(0))), "attempts")
+
+
 def parsed(events: DataFrame, stages: list[Stage], reserved: list[str], allow: list[str], deny: list[str]) -> DataFrame:
     """Stages, promotion and limits: adds `broken`, the stage or rule that an event fails, or null."""
     done = promote(run_stages(events, stages), reserved, allow, deny)
@@ -32,19 +42,22 @@ def ingest(
     messages: DataFrame, to_events: Callable[[DataFrame], DataFrame], process: Callable[[DataFrame], DataFrame],
     events_path: str, retry_path: str, dead_path: str, checkpoint: str, max_attempts: int = 3,
 ) -> StreamingQuery:
-    """Runs until all that is there is read (availableNow). Good events are appended to events_path; failed messages
-    go to retry_path with one more attempt, or after max_attempts to dead_path. A batch that is run again after a
+    """Runs until all that is there is read (availableNow). `to_events` makes events of what is read: event_of of
+    messages, or a payload reader of payloads. Good events are appended to events_path; failed ones, with all that
+    they hold, go to retry_path with one more attempt, or after max_attempts to dead_path. A batch that is run again after a
     crash replaces its own files, each batch having a folder, so nothing is written twice."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        out = process(to_events(rows)).join(rows.select("ingest_seq", "attempts"), "ingest_seq")
+        out = process(to_events(rows))
+        if "attempts" not in out.columns:  # payloads come for the first time
+            out = out.withColumn("attempts", F.lit(0))
         out = out.persist()  # three sinks read it; executors that are lost compute their part again
-        good = out.where("broken IS NULL AND NOT dropped")
-        good.select(*EVENT_SCHEMA.fieldNames()).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
+        names = EVENT_SCHEMA.fieldNames()
+        out.where("broken IS NULL AND NOT dropped").select(*names).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
         bad = after_failure(out.where("broken IS NOT NULL").withColumn("ok", F.lit(False)), max_attempts)
-        fields = [F.col("ingest_seq"), F.col("attempts"), F.col("broken").alias("last_error"), "ts", "tenant_id", "stream_labels", "body", "severity"]
         for to, path in (("retry", retry_path), ("dead", dead_path)):
-            bad.where(F.col("to") == to).select(F.lit(to).alias("topic"), *fields).write.mode("overwrite").json(f"{path}/batch={number}")
+            rows = bad.where(F.col("to") == to).select(F.lit(to).alias("topic"), "attempts", F.col("broken").alias("last_error"), *names)
+            rows.write.mode("overwrite").json(f"{path}/batch={number}")
         out.unpersist()
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -61,3 +61,27 @@ def test_regex_groups_and_limits():
     for bad in (r"(a)\1", "(?=a)", "a++", "(?<!a)b", "x" * 257):
         with pytest.raises(ValueError):
             regex.to_java(bad)
+
+
+@pytest.mark.parametrize(
+    "pattern, body, hit",
+    [
+        ("^[[:digit:]]+$", "12", True), ("^[[:digit:]]+$", "d:", False), ("^[[:^alpha:]]$", "1", True), ("^[a[:digit:]_]+$", "a1_", True), ("(?i)É", "é", True),
+        ("(?i:É)x", "éX", False), ("[a&&b]", "&", True), ("^[]a]+$", "]a", True), ("^[^]a]$", "b", True), ("[[a]", "[", True), (r"\Qa.b\E", "axb", False), (r"\Qa.b\E", "a.b", True),
+        (r"^\v$", "\x0b", True), (r"\p{Greek}", "α", True), (r"\pL", "é", True), (r"^[\s]$", "\x0b", False), ("a{,2}", "a{,2}", True), ("(?m)^b$", "a\nb\nc", True), ("^b$", "a\nb\nc", False),
+        ("a.c", "a\rc", True), ("a.c", "a\nc", False), ("(?s)a.c", "a\nc", True), (r"^\w+$", "é", False), ("a#b", "a#b", True), ("[#~]", "~", True),
+    ],
+)
+def test_patterns_mean_what_they_mean_in_re2(spark, pattern, body, hit):
+    assert one(spark, F.lit(body).rlike(regex.to_java(pattern)[0])) is hit
+
+
+@pytest.mark.parametrize("bad", ["(?U)a+", r"\C", r"(a)\1", "(?=a)", "[[:letter:]]", "[a", "(a", "a)", "a\\", "a*+", r"\Z"])
+def test_patterns_that_are_refused(bad):
+    with pytest.raises(ValueError):
+        regex.checked(bad)
+
+
+@pytest.mark.parametrize("x, shown", [(0.0, "0"), (2.0, "2"), (-1.5, "-1.5"), (1e7, "10000000"), (123456789.5, "123456789.5"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.5e-7, "1.5e-07"), (0.0001, "0.0001"), (1e100, "1e+100")])
+def test_general_number(spark, x, shown):
+    assert one(spark, text.general_number(F.lit(x))) == shown

@@ -3,8 +3,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators import chunks, lifecycle, placement, quota, search, telemetry, tenants
+from logspark.operators import chunks, lifecycle, placement, quota, search, selector, telemetry, tenants
 from logspark.operators.stages import Stage
+from logspark.plans import catalogue
 from logspark.schema import canonical
 
 SCHEMA = "ingest_seq long, ts_ns long, tenant_id string, body string, stream_labels map<string,string>, parsed_fields map<string,string>, resource_attrs map<string,string>, tier byte"
@@ -149,3 +150,58 @@ def test_tenants(spark):
         with pytest.raises(ValueError):
             tenants.changed(t, **bad)
     assert tenants.table(spark, [t]).first().retention_days == 7
+
+
+def test_stored_search_reads_only_its_days(spark):
+    events, summaries = catalogue.stored(spark, "/root/testdata/sf0.001")
+    q = search.Query("tenant-1", 1_704_844_800_000_000_000, 1_704_931_199_999_999_999, labels={"env": "prod"})  # 10 January
+    for df in (search.search(events, q), search.pruned_search(events, summaries, q)):
+        assert [str(r.day) for r in df.select("day").distinct().collect()] == ["2024-01-10"]
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-10" in plan
+    for more in ({}, {"fields": {"host": "h4"}}, {"contains": '"level":"err'}, {"contains": "no such word"}, {"regex": "k4[0-9]"}, {"fields": {"none": ""}}, {"bucket": "2024-01-10/13"}):
+        q = search.Query("tenant-1", 0, 2**61, labels={"env": "prod"}, **more)
+        assert sorted(r.ingest_seq for r in search.pruned_search(events, summaries, q).collect()) == sorted(r.ingest_seq for r in search.search(events, q).collect())
+
+
+def test_whole_tokens_only():
+    assert chunks.whole_tokens("k42 error 500") == ["error"] and chunks.whole_tokens(" error ") == ["error"] and chunks.whole_tokens("error") == []
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", {}), ('{service="api", env=\'prod\',}', {"labels": {"service": "api", "env": "prod"}}), ('{a="b"} |= "x y"', {"labels": {"a": "b"}, "contains": "x y"}),
+        ('{} |~ "e.r" ', {"regex": "e.r"}), ('|= "a" |~ "b"', {"regex": "b"}), ('{a = "x=y"}', {"labels": {"a": "x=y"}}),
+    ],
+)
+def test_selector(text, want):
+    assert selector.conditions(text) == {"labels": {}, "contains": "", "regex": "", **want}
+
+
+def test_selector_requests():
+    q = selector.request({"query": "{a=b}", "start": "1970-01-01T00:00:01.5Z", "end": "2000000000", "limit": "x"}, True, "t")
+    assert (q.tenant_id, q.start_ns, q.end_ns, q.limit, q.labels) == ("t", 1_500_000_000, 2_000_000_000, 100, {"a": "b"})
+    q = selector.request({"time": "1970-01-01T01:00:00+01:00", "tenant": "u", "limit": "7"}, False)
+    assert (q.tenant_id, q.start_ns, q.end_ns, q.limit) == ("u", -1, 1, 7)
+    assert selector.request({}, False, now_ns=5).end_ns == 6
+    for bad in ({"query": "{a"}, {"query": "{a}"}, {"time": "soon"}):
+        with pytest.raises(ValueError):
+            selector.request(bad, False)
+    with pytest.raises(ValueError):
+        selector.request({"start": "1"}, True)
+
+
+def test_chunks_against_a_loop(spark):
+    events = catalogue.tables.driver_events(spark, "/root/testdata/sf0.001")
+    got = {r.ingest_seq: (r.stream_key, r.chunk) for r in chunks.build_chunks(events, 20, 2000, 6 * 3600 * 10**9).collect()}
+    rows = events.select("ingest_seq", "ts_ns", catalogue.text.stream_key("tenant_id", "stream_labels").alias("key"), chunks.estimated_bytes().alias("size")).orderBy("ingest_seq").collect()
+    open_, want = {}, {}
+    for r in rows:
+        number, n, size, first = open_.get(r.key, (0, 0, 0, 0))
+        first = r.ts_ns if n == 0 else first
+        want[r.ingest_seq] = (r.key, number)
+        n, size = n + 1, size + r.size
+        open_[r.key] = (number + 1, 0, 0, 0) if n == 20 or size >= 2000 or r.ts_ns - first >= 6 * 3600 * 10**9 else (number, n, size, first)
+    assert got == want

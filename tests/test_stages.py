@@ -105,3 +105,30 @@ def test_promotion(spark):
 def test_limits(spark, more, rule):
     df = event(spark, **{"body": "x", **more})
     assert df.select(violation(max_body=100, max_value=10)).first()[0] == rule
+
+
+@pytest.mark.parametrize(
+    "kind, config",
+    [("regex", {}), ("regex", {"pattern": "(?=a)"}), ("timestamp", {}), ("filter", {"field": "a", "op": "like"}), ("rename", {"from": "a"}), ("rename", {"from": "a", "to": "b", "target": "body"}), ("redact", {}), ("redact", {"field": "a", "target": "label"})],
+)
+def test_settings_at_fault_are_errors_of_the_stage(spark, kind, config):
+    assert run(spark, "x", Stage("s", kind, config)).failed == "s"
+    r = run(spark, "x", Stage("s", kind, {**config, "ignore_error": "true"}), Stage("v", "static", {"a": "b"}))
+    assert r.failed is None and r.errors == ["s"] and r.parsed_fields == {"a": "b"}
+
+
+def test_settings_in_any_case(spark):
+    r = run(spark, '{"a":"1","t":"12"}', JSON, Stage("r", "rename", {"from": "a", "to": "b", "target": "PARSED"}), Stage("t", "timestamp", {"source": "t", "format": "UNIX"}))
+    assert r.parsed_fields == {"b": "1", "t": "12"} and r.ts_ns == 12 * 10**9
+    assert run(spark, "x", Stage("t", "timestamp", {"source": "t", "format": "era"}), parsed_fields={"t": "1"}).failed == "t"
+    assert run(spark, "x", Stage("t", "timestamp", {"source": "t", "format": "era"})).failed is None
+
+
+def test_logfmt_of_many_keys(spark):
+    body = " ".join(f"k{i % 700}={i}" for i in range(2000))
+    assert run(spark, body, Stage("l", "logfmt")).parsed_fields == {f"k{i % 700}": str(i) for i in range(2000)}
+
+
+def test_json_kinds(spark):
+    r = run(spark, '{"i":12345678901234567,"n":-3,"s":"1.50","o":{"a":[1]},"e":1e3,"z":0.0}', JSON)
+    assert r.parsed_fields == {"i": "12345678901234568", "n": "-3", "s": "1.50", "o": '{"a":[1]}', "e": "1000", "z": "0"}
