@@ -185,6 +185,12 @@ STAGES: dict[str, Callable[[dict], Made]] = {
 }
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once: Spark moves conditions and projections through other projections, and
+    computes what they use again in each place, but moves none through a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def run_stages(events: DataFrame, stages: list[Stage]) -> DataFrame:
     """Events -> events with `dropped`, `failed` and `errors`. A failing stage with ignore_error keeps what it made.
 
@@ -195,8 +201,10 @@ def run_stages(events: DataFrame, stages: list[Stage]) -> DataFrame:
         if stage.type not in STAGES:
             raise ValueError(f"unknown stage type {stage.type}")
         made = STAGES[stage.type](stage.config)
-        for step in made.steps:
+        for step in made.steps[:-1]:
             df = df.withColumns(step)
+        for name, value in made.steps[-1].items() if made.steps else ():
+            df = held(df, name, value)
         live = ~F.col("dropped") & F.col("failed").isNull()
         new = {c: F.when(live, v).otherwise(F.col(c)) for c, v in made.columns.items()}
         hits = []
@@ -223,7 +231,7 @@ def promote(events: DataFrame, reserved: list[str], allow: list[str], deny: list
     allowed = F.map_filter("parsed_fields", lambda k, v: k.isin(*allow) & ~k.isin(*deny) & ~text.blank(v)) if allow else empty_map()
     df = events.withColumns({"__taken": taken, "__allowed": allowed})
     df = df.withColumn("__own", F.map_filter(text.overlay(F.col("stream_labels"), F.col("__taken")), lambda _, v: ~text.blank(v)))
-    df = df.withColumn("__labels", text.overlay(F.col("__allowed"), F.col("__own")))
+    df = held(df, "__labels", text.overlay(F.col("__allowed"), F.col("__own")))
     labels = F.col("__labels")
     if "severity" in reserved or "severity" in allow:
         labels = F.when((text.get("__labels", "severity") == "") & (F.col("severity") != ""), text.put(labels, "severity", F.col("severity"))).otherwise(labels)
