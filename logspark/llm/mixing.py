@@ -136,14 +136,14 @@ def _few(table: DataFrame, rows: int = 100_000) -> bool:
 
 def mixed_rows(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them, shard by shard and in a random order
-    within each: rows of a shard lie together, in pieces of some 50,000 rows.
+    within each: rows of a shard lie together, in pieces of some 10,000 rows.
 
     The one row of a source that the quota cuts comes whole if it has at least half of its words in it, and otherwise
     not; rows without words come as often as their source is taken whole. An empty table gives no rows."""
     mix = mix_sources(docs, seed=seed, carry=True, **how)
     times = F.when(F.col("size") > 0, F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(F.size("shards")).cast("int")
     copies = mix.select("row", "doc_id", F.posexplode(F.slice("shards", 1, times)).alias("copy", "shard"))
-    pieces = 1 << (docs.count() // (50_000 * how.get("shards", 16))).bit_length()
+    pieces = 1 << (docs.count() // (10_000 * how.get("shards", 16))).bit_length()
     copies = copies.withColumn("place", _random(seed, "place", F.col("shard"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")))
     copies = copies.withColumn("piece", F.shiftright("place", 60 - (pieces - 1).bit_length()))
     return copies.repartition("shard", "piece").sortWithinPartitions("shard", "place").select("row.*")
