@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, log2
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +12,6 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def block_masks(radius: int, blocks: int, bits: int = 64) -> list[int]:
-    """Pigeonhole: of `blocks` blocks of bits `radius` differing bits leave all but `radius` alone. A mask for each
-    choice of those that are left."""
-    own = [sum(1 << b for b in range(bits)[i::blocks]) for i in range(blocks)]
-    return [sum(left) for left in combinations(own, blocks - radius)]
-
-
-def block_families(radius: int, n: int, spare: int = 4) -> list[list[int]]:
-    """Families of block masks for n fingerprints. The first has masks of at least log2(n) + `spare` bits, so that
-    fingerprints that aren't near ones rarely share a bucket, whatever n is; each further one leaves out at most half
-    as many bits as the one before, down to 4 * (radius + 1) blocks."""
-    families, left = [], min(39, 64 - log2(max(n, 1)) - spare)
-    last = 4 * (radius + 1)
-    for blocks in range(radius + 2, last + 1):
-        out = max(64 - m.bit_count() for m in block_masks(radius, blocks)[:: max(1, comb(blocks, radius) - 1)])
-        if out <= left or blocks == last:
-            families.append(block_masks(radius, blocks))
-            left = out / 2
-    return families
-
-
 def hamming_links(fps: DataFrame, radius: int, families: list[list[int]], most: int = 256) -> DataFrame:
     """fps (fp long, distinct) -> a long, b long as a table: all pairs that differ in at most `radius` bits, a < b.
 

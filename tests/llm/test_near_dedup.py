@@ -7,7 +7,7 @@ import numpy as np
 
 from logspark.llm.components import connected_components
 from logspark.llm.embedding_dedup import cover_tree, embedding_components
-from logspark.llm.hamming import block_families, block_masks, hamming_links
+from logspark.llm.hamming import hamming_links
 from logspark.llm.line_dedup import drop_repeated_lines, line_dedup, removed_lines
 from logspark.llm.simhash_dedup import covering_families, covering_masks, keep_one_per_group, simhash_components
 
@@ -28,11 +28,8 @@ def test_masks_cover_every_pair():
         own = covering_masks(list(bits), 2)
         assert all(any(not m & sum(1 << b for b in apart) for m in own) for apart in combinations(bits, 2))
     rng = random.Random(3)
-    for families in (covering_families(2), *[block_families(3, n) for n in (0, 10**6, 10**9, 10**11)]):
-        radius = 2 if len(families[0]) == 7 else 3
-        apart = [sum(1 << b for b in rng.sample(range(64), radius)) for _ in range(300)]
-        assert all(any(not m & a for m in masks) for masks in families for a in apart)
-    assert min(m.bit_count() for m in block_families(3, 10**9)[0]) >= 30 and len(block_masks(3, 5)) == 10
+    apart = [sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(300)]
+    assert all(any(not m & a for m in masks) for masks in covering_families(2) for a in apart)
 
 
 def test_hamming_links_in_large_buckets(spark):
@@ -41,9 +38,8 @@ def test_hamming_links_in_large_buckets(spark):
     center = rng.getrandbits(63)
     fps = {center} | {center ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 4))) for _ in range(200)} | {rng.getrandbits(63) for _ in range(50)}
     rows = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for families, radius in ((covering_families(2), 2), (block_families(3, len(fps)), 3)):
-        got = [(r.a, r.b) for r in hamming_links(rows, radius, families, most=8).collect()]
-        assert Counter(got) == Counter((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius)
+    got = [(r.a, r.b) for r in hamming_links(rows, 2, covering_families(2), most=8).collect()]
+    assert Counter(got) == Counter((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2)
 
 
 def test_simhash(odd_docs, odd_rows):
@@ -78,21 +74,18 @@ def norm(line):
     return " ".join(words) if len(words) >= 5 else ("short", line.lower().strip(" \t\r\x0b\x0c")) if words else None
 
 
-def plain_lines(rows, spark):
-    """First occurrences by groups, with Spark's fingerprints of single lines."""
-    from pyspark.sql import functions as F
-
+def plain_lines(rows):
+    """Lines that are no first occurrences, by edit similarity of all that share three words in a row, or two in lines
+    of up to six: without fingerprints."""
     places = defaultdict(list)
     for i, text in {(brute.order(r[0]), r[1] or "") for r in rows}:
         for at, line in enumerate(text.split("\n")):
             if norm(line):
                 places[norm(line)].append((i, at, text))
-    long = [n for n in places if isinstance(n, str)]
-    words = spark.createDataFrame([(w,) for w in {w for n in long for w in n.split(" ")}], "w string")
-    h = {r.w: r.h & (1 << 64) - 1 for r in words.select("w", F.xxhash64("w").alias("h")).collect()}
-    fp = {n: sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in set(n.split(" "))) > len(set(n.split(" ")))) for n in long}
+    long = {n: n.split(" ") for n in places if isinstance(n, str)}
+    grams = {n: {tuple(w[k : k + g]) for g in ((2, 3) if len(w) <= 6 else (3,)) for k in range(len(w) - g + 1)} for n, w in long.items()}
     near = lambda a, b: 5 * brute.distance(a, b) <= max(len(a), len(b))
-    links = [(a, b) for a, b in combinations(long, 2) if (fp[a] ^ fp[b]).bit_count() <= 3 and (near(a.split(" "), b.split(" ")) or near(a, b))]
+    links = [(a, b) for a, b in combinations(long, 2) if grams[a] & grams[b] and (near(long[a], long[b]) or near(a, b))]
     root = brute.roots([str(p) for p in places], [(str(a), str(b)) for a, b in links])
     first = {}
     for n, at in places.items():
@@ -111,7 +104,7 @@ def test_lines(spark, odd_docs, odd_rows, no_docs):
     ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, line)]
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, at string, row string")
-    want, links = plain_lines(rows, spark)
+    want, links = plain_lines(rows)
     got = {(min(r.id, brute.LAST - 1), r.at) for r in removed_lines(docs).collect()}
     assert links and got == {(min(i, brute.LAST - 1), at) for i, at, _ in want}
     assert {(9, 0), (13, 0), (18, 0)} <= got and not {(13, 2), (13, 3), (15, 0), (17, 0)} & got
@@ -146,6 +139,36 @@ def test_lines_linked_by_one_that_a_pivot_holds(spark):
     assert got == {i for i, _ in rows if i % 3}
 
 
+def edited(rng, words, edits):
+    """words with as many words put in, taken out or replaced."""
+    words = list(words)
+    for _ in range(edits):
+        k = rng.randrange(len(words))
+        words[k : k + rng.randrange(2)] = [] if len(words) > 5 and rng.random() < 0.3 else [f"n{rng.randrange(10**6)}"]
+    return words
+
+
+def test_lines_of_all_lengths_and_in_large_buckets(spark):
+    """Near copies at up to the last edit allowed, a phrase that many lines hold, and one line in many variants, against
+    edit similarity alone; with large buckets dealt anew, too."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    lines = []
+    for n in (5, 6, 7, 9, 10, 14, 20, 33, 60):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            lines += [base, edited(rng, base, n // 5), edited(rng, base, max(1, n // 10)), edited(rng, base, n // 5 + 2)]
+    phrase, model = [word() for _ in range(8)], [word() for _ in range(30)]
+    lines += [[*[word() for _ in range(6)], *phrase, *[word() for _ in range(6)]] for _ in range(40)]
+    lines += [edited(rng, model, rng.randrange(1, 5)) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, _, _ in plain_lines(rows)[0]}
+    assert len(want) > 100
+    for most in (64, 8):
+        assert {r.id for r in removed_lines(docs, most=most).collect()} == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 8))
