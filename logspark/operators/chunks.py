@@ -33,15 +33,32 @@ def estimated_bytes() -> Column:
 _SEARCHED = ("parsed_fields", "log_attrs", "resource_attrs")
 
 
-def segment_summaries(events: DataFrame) -> DataFrame:
-    """Summaries by tenant, day, stream and hour, the chunks that pruned searches leave out; without the tokens."""
+#: What tells the chunks of segment_summaries apart.
+SEGMENT = ("tenant_id", "stream_key", "bucket", "day", "labels_hash")
+
+
+def _segmented(events: DataFrame) -> DataFrame:
     # A label's value may hold what stands between labels in a stream's key, so the labels themselves count, too.
     own = F.xxhash64(F.array_sort(F.map_entries("stream_labels")))
-    keys = {"stream_key": text.stream_key("tenant_id", "stream_labels"), "bucket": text.bucket(F.col("ts")), "day": F.to_date("ts"), "labels_hash": own}
-    return summaries(events.withColumns(keys), "tenant_id", *keys).drop("tokens")
+    return events.withColumns({"stream_key": text.stream_key("tenant_id", "stream_labels"), "bucket": text.bucket(F.col("ts")), "day": F.to_date("ts"), "labels_hash": own})
+
+
+def segment_tokens(events: DataFrame) -> DataFrame:
+    """A row for each token of each chunk of segment_summaries, so that no chunk's tokens are ever held together."""
+    return _words(_segmented(events), SEGMENT)
+
+
+def segment_summaries(events: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """Summaries by tenant, day, stream and hour, the chunks that pruned searches leave out; without the tokens, which
+    may be given as the table of segment_tokens."""
+    return summaries(_segmented(events), *SEGMENT, words=tokens).drop("tokens")
+
+
+def _words(chunked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return chunked.select(*keys, F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("token")).distinct()
 
 
-def summaries(chunked: DataFrame, *keys: str) -> DataFrame:
+def summaries(chunked: DataFrame, *keys: str, words: DataFrame | None = None) -> DataFrame:
     """A row for each chunk: events, bytes, time range, labels (all events of a stream have the same), names of its
     parsed fields and of all that a search for fields looks at, tokens and a 256-bit bloom filter of them."""
     base = chunked.groupBy(*keys).agg(
@@ -50,7 +67,7 @@ def summaries(chunked: DataFrame, *keys: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.concat(*[F.map_keys(m) for m in _SEARCHED])))))).alias("searchable"),
         F.first("stream_labels").alias("stream_labels"),
     )
-    words = chunked.select(*keys, F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("token")).distinct()
+    words = _words(chunked, keys) if words is None else words
     bits = words.withColumn("bits", text.bloom_bits(F.col("token")))
     lanes = [F.bit_or(F.expr(f"shiftleft(1L, bits[{i}])")).alias(f"bloom_{i}") for i in range(4)]
     blooms = bits.groupBy(*keys).agg(F.array_sort(F.collect_set("token")).alias("tokens"), *lanes)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import regex, text
-from .chunks import may_contain, whole_tokens
+from .chunks import SEGMENT, may_contain, whole_tokens
 
 #: What makes two rows one event; severity and parsed fields don't count.
 IDENTITY = ("tenant_id", "ts_ns", "stream_key", "body", "trace_id", "span_id")
@@ -104,10 +104,13 @@ def search(events: DataFrame, q: Query) -> DataFrame:
     return rows.limit(q.limit) if q.limit else rows
 
 
-def candidates(summaries: DataFrame, q: Query) -> DataFrame:
+def candidates(summaries: DataFrame, q: Query, tokens: DataFrame | None = None) -> DataFrame:
     """The chunk summaries (see chunks.segment_summaries) that may hold a match: tenant, days and hour, time range,
     labels, names of the wanted fields, and the bloom filter for tokens that stand whole in the wanted text. Parts of
-    it at its ends may be parts of longer tokens, so nothing that matches is left out."""
+    it at its ends may be parts of longer tokens, so nothing that matches is left out.
+
+    The filter lets more chunks pass the more tokens they have; with the table of chunks.segment_tokens only those stay
+    that have all of them."""
     found = (F.col("tenant_id") == q.tenant_id) & on_days(q) & (F.col("min_ts_ns") <= q.end_ns) & (F.col("max_ts_ns") >= q.start_ns)
     if q.bucket:
         found &= F.col("bucket") == q.bucket
@@ -117,21 +120,27 @@ def candidates(summaries: DataFrame, q: Query) -> DataFrame:
         found &= F.array_contains("searchable", k) if v else F.lit(True)  # an empty value also matches where no field is
     if q.contains and not q.regex:
         found &= may_contain(" ".join(whole_tokens(q.contains)))
-    return summaries.where(found)
+    found = summaries.where(found)
+    wanted = sorted(set(whole_tokens(q.contains))) if q.contains and not q.regex and tokens is not None else []
+    if not wanted:
+        return found
+    hits = tokens.where((F.col("tenant_id") == q.tenant_id) & on_days(q) & F.col("token").isin(wanted))
+    whole = hits.groupBy(*SEGMENT).agg(F.countDistinct("token").alias("n")).where(F.col("n") == len(wanted))
+    return found.join(whole, list(SEGMENT), "left_semi")
 
 
-def pruned_search(events: DataFrame, summaries: DataFrame, q: Query) -> DataFrame:
+def pruned_search(events: DataFrame, summaries: DataFrame, q: Query, tokens: DataFrame | None = None) -> DataFrame:
     """search() over a table of write_events, of which only candidate chunks' events are looked at."""
     keys = ["tenant_id", "day", "stream_key", "bucket"]
-    narrow = events.where(in_time(q, days=True)).join(candidates(summaries, q).select(*keys), keys, "left_semi")
+    narrow = events.where(in_time(q, days=True)).join(candidates(summaries, q, tokens).select(*keys), keys, "left_semi")
     return search(narrow, q)
 
 
-def explain(summaries: DataFrame, q: Query) -> DataFrame:
+def explain(summaries: DataFrame, q: Query, tokens: DataFrame | None = None) -> DataFrame:
     """candidate_chunks, candidate_streams, candidate_events, and cost: chunks times one and the number of label and
-    field conditions. Only summaries are read."""
+    field conditions. Only summaries, and if given the table of their tokens, are read."""
     weight = 1 + len(q.labels) + len(q.fields)
-    return candidates(summaries, q).agg(
+    return candidates(summaries, q, tokens).agg(
         F.count("*").alias("candidate_chunks"), F.countDistinct("stream_key").alias("candidate_streams"),
         F.coalesce(F.sum("event_count"), F.lit(0)).alias("candidate_events"), (F.count("*") * weight).alias("cost"),
     )

@@ -106,18 +106,28 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page_summary(tables.driver_events(spark, sf_dir), _q(labels={"env": "prod"}, limit=50, cursor="50"))
 
 
-_written: dict[tuple[str, str], tuple[str, str]] = {}
+_written: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The events and their chunks' summaries as stored tables, written once for each application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The events, their chunks' tokens or their chunks' summaries as a stored table, each written once for each
+    application and only if it is asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        paths = tables.work_folder(spark, "events") + "/t", tables.work_folder(spark, "summaries") + "/t"
-        tables.write_events(tables.driver_events(spark, sf_dir), paths[0], "overwrite")
-        tables.write_summaries(chunks.segment_summaries(tables.driver_events(spark, sf_dir)), paths[1], "overwrite")
-        _written[key] = paths
-    return tuple(tables.read_events(spark, p) for p in _written[key])
+        path = tables.work_folder(spark, name) + "/t"
+        if name == "events":
+            tables.write_events(tables.driver_events(spark, sf_dir), path, "overwrite")
+        elif name == "tokens":
+            tables.write_tokens(chunks.segment_tokens(tables.driver_events(spark, sf_dir)), path, "overwrite")
+        else:
+            tables.write_summaries(chunks.segment_summaries(tables.driver_events(spark, sf_dir), stored_table(spark, sf_dir, "tokens")), path, "overwrite")
+        _written[key] = path
+    return tables.read_events(spark, _written[key])
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored events and their chunks' summaries."""
+    return stored_table(spark, sf_dir, "events"), stored_table(spark, sf_dir, "summaries")
 
 
 _HOST = f"{_RANGE} AND env = 'prod' AND host = 'h4' AND contains(lower(body), '\"error\",\"level\"')"
@@ -126,21 +136,21 @@ _HOST = f"{_RANGE} AND env = 'prod' AND host = 'h4' AND contains(lower(body), '\
 @register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_RANGE} AND env = 'prod' AND contains(lower(body), 'error') ORDER BY ts, ingest_seq LIMIT 100")
 def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship search over a stored table: days, row groups by tenant and time."""
-    return search.search(stored(spark, sf_dir)[0], _q(labels={"env": "prod"}, contains="ERROR", limit=100)).select(*_OUT)
+    return search.search(stored_table(spark, sf_dir, "events"), _q(labels={"env": "prod"}, contains="ERROR", limit=100)).select(*_OUT)
 
 
 @register(f"SELECT ingest_seq, ts, tenant_id, body FROM e WHERE {_HOST}")
 def search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only events of chunks whose summaries may hold labels, field and tokens."""
-    events, summaries = stored(spark, sf_dir)
-    return search.pruned_search(events, summaries, _q(labels={"env": "prod"}, fields={"host": "h4"}, contains='"error","level"')).select(*_OUT)
+    events, summaries, tokens = (stored_table(spark, sf_dir, name) for name in ("events", "summaries", "tokens"))
+    return search.pruned_search(events, summaries, _q(labels={"env": "prod"}, fields={"host": "h4"}, contains='"error","level"'), tokens).select(*_OUT)
 
 
 @register(f"SELECT count(*) AS candidate_chunks, count(DISTINCT stream_key) AS candidate_streams, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidate_events, count(*) * 3 AS cost FROM (SELECT stream_key, count(*) AS n FROM e WHERE tenant_id = 'tenant-1' AND env = 'prod' GROUP BY stream_key, date_trunc('hour', ts) HAVING min(ts) <= TIMESTAMP '{_END}' AND max(ts) >= TIMESTAMP '{_START}' AND bool_or(service = 'error'))")
 def explain_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the summaries leave of a search. The token `error` is in the bodies of error events' streams alone."""
+    """What the summaries and their tokens leave of a search. The token `error` is in the bodies of error events' streams alone."""
     q = _q(labels={"env": "prod"}, fields={"host": "h4"}, contains='"error","level"')
-    return search.explain(stored(spark, sf_dir)[1], q)
+    return search.explain(stored_table(spark, sf_dir, "summaries"), q, stored_table(spark, sf_dir, "tokens"))
 
 
 @register("SELECT ingest_seq, ts, tenant_id, body, 0 AS tier FROM e")

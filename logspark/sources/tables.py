@@ -33,6 +33,12 @@ def write_summaries(summaries: DataFrame, path: str, mode: str = "append") -> No
     summaries.write.mode(mode).option("compression", "zstd").partitionBy("day").parquet(path)
 
 
+def write_tokens(tokens: DataFrame, path: str, mode: str = "append") -> None:
+    """The tokens of chunks by day, sorted in each file so that row groups can be skipped by token."""
+    rows = tokens.repartition("day", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("day", "tenant_id", "token")
+    rows.write.mode(mode).option("compression", "zstd").partitionBy("day").parquet(path)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A folder that all executors share: in spark.checkpoint.dir, or in local mode a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

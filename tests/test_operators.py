@@ -165,6 +165,18 @@ def test_stored_search_reads_only_its_days(spark):
         assert sorted(r.ingest_seq for r in search.pruned_search(events, summaries, q).collect()) == sorted(r.ingest_seq for r in search.search(events, q).collect())
 
 
+def test_chunks_of_many_tokens_are_no_candidates_of_others(spark):
+    rows = [(k, " ".join(f"w{i}x{k}" for i in range(400)), {"service": "a" if k < 20 else "b"}, {}) for k in range(40)]
+    hours = [(k * 3_600_000_000_000, f"{body} error level" if k == 7 else body, labels, fields) for k, body, labels, fields in rows]
+    df = events(spark, *hours)
+    q = search.Query("t", 0, 2**61, contains='"error","level"')
+    tokens = chunks.segment_tokens(df)
+    summaries = chunks.segment_summaries(df, tokens)
+    assert sorted(map(str, summaries.collect())) == sorted(map(str, chunks.segment_summaries(df).collect()))
+    assert search.candidates(summaries, q).count() > 30  # the filters are full
+    assert [tuple(r) for r in search.explain(summaries, q, tokens).collect()] == [(1, 1, 1, 1)]
+
+
 def test_whole_tokens_only():
     assert chunks.whole_tokens("k42 error 500") == ["error"] and chunks.whole_tokens(" error ") == ["error"] and chunks.whole_tokens("error") == []
 
