@@ -56,9 +56,15 @@ def write_requests_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _dealt(events: DataFrame) -> DataFrame:
+    """The raw events over all cores: a file of few row groups is read by few tasks, which then would do all the work of
+    making, parsing and splitting bodies alone, however many cores there are."""
+    return events.repartition("event_id")
+
+
 def driver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `events` table as log events with JSON bodies."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = _dealt(spark.read.parquet(f"{sf_dir}/events.parquet"))
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARNING").otherwise("info")
     status = F.when(F.col("event_type") == "error", "500").otherwise("200")
     k = F.regexp_replace("props", "[^0-9]", "")
@@ -77,7 +83,7 @@ def driver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def driver_events_logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events with logfmt bodies."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = _dealt(spark.read.parquet(f"{sf_dir}/events.parquet"))
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARNING").otherwise("info")
     status = F.when(F.col("event_type") == "error", "500").otherwise("200")
     body = F.concat(
