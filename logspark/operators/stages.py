@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex, text
+from ..functions.once import held
 from ..schema import empty_map
 
 
@@ -185,12 +186,6 @@ STAGES: dict[str, Callable[[dict], Made]] = {
 }
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is worked out once: Spark moves conditions and projections through other projections, and
-    computes what they use again in each place, but moves none through a generator."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def run_stages(events: DataFrame, stages: list[Stage]) -> DataFrame:
     """Events -> events with `dropped`, `failed` and `errors`. A failing stage with ignore_error keeps what it made.
 

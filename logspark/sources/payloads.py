@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.once import held
 from ..schema import canonical
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:boolean>"
@@ -52,24 +53,27 @@ def _entries(list_: Column, of: Column, element: str) -> Column:
 
 
 def _opened(payloads: DataFrame, schema: str) -> DataFrame:
-    """payloads with `p`, the parsed payload, and `unread`, whether it is no JSON object of that form."""
+    """payloads with `p`, the parsed payload, and `unread`, whether it is no JSON object of that form. A payload is
+    made and parsed once, whatever is asked of it later."""
     parsed = F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
     object_ = F.coalesce(F.col("payload").rlike(r"^\s*\{"), F.lit(False))
-    rows = payloads.select("arrival", "payload", F.when(object_, parsed).alias("p"))
+    rows = held(held(payloads.select("arrival", F.col("payload").alias("given")), "payload", F.col("given")).drop("given"), "p", F.when(object_, parsed))
     return rows.withColumn("unread", F.col("p").isNull() | F.col("p.__bad").isNotNull())
 
 
 def _judged(rows: DataFrame, untimed: Column) -> DataFrame:
     """Adds `reason`: why a payload is refused as a whole, or null. `entries` is there by then."""
     reason = F.when(F.col("unread"), "json").when(F.size("entries") >= _ENTRIES, "too_many").when(untimed, "time")
-    return rows.withColumn("reason", reason)
+    return held(rows, "reason", reason)
 
 
 def _native(payloads: DataFrame) -> DataFrame:
     from ..operators.stages import rfc3339_ns
 
-    rows = _opened(payloads, _NATIVE).withColumn("entries", F.coalesce("p.events", F.array()))
-    return _judged(rows, F.exists("entries", lambda e: e["timestamp"].isNotNull() & rfc3339_ns(e["timestamp"]).isNull()))
+    timed = F.transform("p.events", lambda e: F.struct(e.alias("e"), rfc3339_ns(e["timestamp"]).alias("ns")))
+    rows = held(_opened(payloads, _NATIVE), "timed", timed)
+    rows = rows.withColumn("entries", F.coalesce("timed", F.array()))
+    return _judged(rows, F.exists("entries", lambda x: x["e"]["timestamp"].isNotNull() & x["ns"].isNull()))
 
 
 def _otlp_time(e: Column) -> Column:
@@ -86,15 +90,15 @@ def _otlp(payloads: DataFrame) -> DataFrame:
         of_scopes = _entries(r["scopeLogs"], lambda s: s["logRecords"], f"array<{record}>")
         return F.transform(of_scopes, lambda e: F.struct(r["resource"]["attributes"].alias("attributes"), e.alias("e")))
 
-    rows = rows.withColumn("entries", _entries(F.col("p.resourceLogs"), records, f"array<{element}>"))
+    rows = held(rows, "entries", _entries(F.col("p.resourceLogs"), records, f"array<{element}>"))
     return _judged(rows, F.exists("entries", lambda x: (_otlp_time(x["e"]) != "") & _nanos(_otlp_time(x["e"])).isNull()))
 
 
 def _loki(payloads: DataFrame) -> DataFrame:
     entry = "struct<stream:map<string,string>,v:array<string>>"
     labelled = lambda s: F.transform(s["values"], lambda v: F.struct(s["stream"].alias("stream"), v.alias("v")))
-    rows = _opened(payloads, _LOKI).withColumn("all", _entries(F.col("p.streams"), labelled, f"array<{entry}>"))
-    rows = rows.withColumn("entries", F.filter("all", lambda x: F.coalesce(F.size(x["v"]) >= 2, F.lit(False))))
+    rows = held(_opened(payloads, _LOKI), "all", _entries(F.col("p.streams"), labelled, f"array<{entry}>"))
+    rows = held(rows, "entries", F.filter("all", lambda x: F.coalesce(F.size(x["v"]) >= 2, F.lit(False))))
     return _judged(rows, F.exists("entries", lambda x: _nanos(F.get(x["v"], F.lit(0))).isNull()))
 
 
@@ -113,12 +117,10 @@ def rejects(payloads: DataFrame, form: str) -> DataFrame:
 
 def read_native(payloads: DataFrame, now: Column | None = None) -> DataFrame:
     """{"events": [...]}; an event without a time has the time of reading. Refused payloads are left out."""
-    from ..operators.stages import rfc3339_ns
-
     now = F.unix_micros(F.current_timestamp()) * 1000 if now is None else now
     names = ("tenant_id", "stream_labels", "body", "severity", "resource_attrs", "log_attrs", "parsed_fields", "trace_id", "span_id")
     rows = _accepted(_native(payloads))
-    return canonical(rows.select("ingest_seq", F.coalesce(rfc3339_ns(F.col("x.timestamp")), now).alias("ts_ns"), *[F.col(f"x.{n}").alias(n) for n in names]))
+    return canonical(rows.select("ingest_seq", F.coalesce("x.ns", now).alias("ts_ns"), *[F.col(f"x.e.{n}").alias(n) for n in names]))
 
 
 def read_otlp(payloads: DataFrame, tenant: str = "default", now: Column | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from logspark.operators.stages import Stage
 from logspark.operators.tenants import Tenant, ingested
+from logspark.plans import catalogue
 from logspark.sources import kafka, payloads, tables
 from logspark.sources.kafka import MESSAGE
 from logspark.streaming.ingest import deduplicated, event_of, ingest, message_stream, parsed, payload_stream
@@ -99,3 +101,17 @@ def test_stream_dedup(spark, tmp_path):
     q = deduplicated(canonical(message_stream(spark, str(folder)))).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.body for r in spark.table("seen").collect()) == ["x", "y"]
+
+
+@pytest.mark.parametrize("name", ["native_flatten", "rejects", "loki_flatten", "otlp_flatten"])
+def test_payloads_are_parsed_once_on_all_cores(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "RepartitionByExpression [event_id" in plan
+
+
+def test_a_stored_search_writes_no_summaries(spark, tmp_path):
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    (sf / "events.parquet").symlink_to("/root/testdata/sf0.001/events.parquet")
+    assert catalogue.QUERIES["search_stored"](spark, str(sf)).count() > 0
+    assert [k[2] for k in catalogue._written if k[1] == str(sf)] == ["events"]
