@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from logspark.llm.components import connected_components
 from logspark.llm.embedding_dedup import cover_tree, embedding_components
@@ -201,3 +202,15 @@ def test_cover_tree():
         assert (np.linalg.norm(x - x[own], axis=1) <= radius + 1e-9).all()
         assert all(np.linalg.norm(x[a] - x[b]) > radius - 1e-9 for a, b in combinations(centers, 2))
         before = centers
+
+
+@pytest.mark.parametrize("most, tile", [(64, 1024), (2, 8)])
+def test_no_bucket_of_lines_loses_pairs(spark, most, tile):
+    """Forty pairs with two edits in ten words, of which only phrases of all lines are left in common."""
+    rng, rows = random.Random(7), []
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    for k in range(40):
+        end = f"{word()} {word()}"
+        rows += [(2 * k + i, f"the terms of {word()} use and sale {word()} {end}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id for r in removed_lines(docs, radius=64, blocks=8, most=most, tile=tile).collect()} == {2 * k + 1 for k in range(40)}
