@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, text_bytes
 
+#: Words that are encoded together.
+_AT_ONCE = 2048
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 RUNS = "length long, first_rank long, n long, per_sequence long, first_sequence long, at long"
@@ -37,8 +40,10 @@ def word_ids(tokenizer_path: str, most: int = 400_000) -> Callable[[list[bytes]]
 
     def learn(words: Iterable[bytes]) -> list[bytes]:
         new = list(words)
-        found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        known.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        for at in range(0, len(new), _AT_ONCE):  # an encoding holds far more than its ids
+            part = new[at : at + _AT_ONCE]
+            found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            known.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
         return new
 
     def encode(texts: list[bytes]) -> list[bytes]:

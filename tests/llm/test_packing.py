@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from logspark.llm import best_fit_packing
 from logspark.llm.best_fit_packing import best_fit_plan, pack_documents
 
 from . import brute
@@ -55,3 +56,11 @@ def test_plan_is_best_fit_decreasing(histogram):
             free.append((min(fits) if fits else capacity) - length)
     assert len(used) == len(free)
     assert all(sorted(p) == list(range(len(p))) for p in used.values())
+
+
+def test_words_are_encoded_in_parts(monkeypatch):
+    """The encodings of a batch's new words are never all held at once, and ids don't depend on that."""
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), [f"Word{i}, and some{i} more of_{i}! <|x|>".encode() for i in range(50)]
+    want = best_fit_packing.word_ids(path)(texts)
+    monkeypatch.setattr(best_fit_packing, "_AT_ONCE", 7)
+    assert best_fit_packing.word_ids(path)(texts) == want
