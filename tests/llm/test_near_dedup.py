@@ -5,14 +5,18 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from logspark.llm import line_dedup as dedup
+from logspark.llm.common import materialise
 from logspark.llm.components import connected_components
 from logspark.llm.embedding_dedup import cover_tree, embedding_components
 from logspark.llm.hamming import hamming_links
-from logspark.llm.line_dedup import drop_repeated_lines, line_dedup, removed_lines
+from logspark.llm.line_dedup import drop_repeated_lines, line_dedup, outlines, possible, removed_lines, short_codes
 from logspark.llm.simhash_dedup import covering_families, covering_masks, keep_one_per_group, simhash_components
 
 from . import brute
+from .conftest import prose
 
 
 def test_components(spark):
@@ -214,3 +218,43 @@ def test_no_bucket_of_lines_loses_pairs(spark, most, tile):
         rows += [(2 * k + i, f"the terms of {word()} use and sale {word()} {end}") for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id for r in removed_lines(docs, radius=64, blocks=8, most=most, tile=tile).collect()} == {2 * k + 1 for k in range(40)}
+
+
+def test_possible_pairs_of_lines(spark):
+    """Outlines refuse most pairs that are unlike, and none that is similar in words or in characters."""
+    rng = random.Random(12)
+    letters = "etaoinshrdlucmf thenthen éß你\U0001f600"
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(20, 120))).split() or ["a"]
+        b, left = list(" ".join(a)), rng.randrange(len(a) * 2)
+        for _ in range(left):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice(["", rng.choice(letters), b[at] + rng.choice(letters)])
+        words = [w if rng.random() < 0.85 else "other" + w for w in a]
+        pairs += [(" ".join(a), " ".join("".join(b).split()) or "b"), (" ".join(a), " ".join(words)), (" ".join(a), " ".join(rng.sample(a, len(a))))]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    sides = [c.alias(f"{n}_{k}") for n in "ab" for k, c in zip(("codes", "n", "thin"), (short_codes(F.split(n, " ")), *outlines(F.col(n))))]
+    got = rows.select("a", "b", *sides).select("a", "b", possible(0.8).alias("maybe")).collect()
+    refused = 0
+    for r in got:
+        alike = any(brute.distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9) for x, y in ((r.a, r.b), (r.a.split(" "), r.b.split(" "))))
+        assert r.maybe or not alike
+        refused += not r.maybe
+    assert refused > 100
+
+
+def test_pairs_of_lines_are_compared_in_slices(spark, monkeypatch):
+    """However many pairs there are, few of them meet their lines at once, and all do."""
+    rng = random.Random(9)
+    lines = [f"{prose(rng, 6, 3000)} one phrase of all {prose(rng, 6, 3000)}" for _ in range(14)]
+    lines += [line.replace("x1", "x2", 2) for line in lines]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(dedup, "materialise", lambda df, name: made.append(name) or materialise(df, name))
+    whole = {r.id for r in removed_lines(docs, radius=64).collect()}
+    assert made.count("possible-lines") == 2
+    monkeypatch.setattr(dedup, "_AT_ONCE", 0)
+    made.clear()
+    assert {r.id for r in removed_lines(docs, radius=64).collect()} == whole and whole
+    assert made.count("possible-lines") > 4
