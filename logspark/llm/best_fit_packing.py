@@ -12,6 +12,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,13 +38,34 @@ def word_ids(tokenizer_path: str, most: int = 400_000) -> Callable[[list[bytes]]
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     known: dict[bytes, bytes] = {}
+    tokens = tokenizer.get_vocab()
+    last = np.zeros(max(tokens.values()) + 1, bool)  # by id: whether it ends a pre-token
+    last[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+
+    def one_by_one(words: list[bytes], texts: list[str]) -> None:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        known.update(zip(words, [array("I", e.ids).tobytes() for e in found]))
+
+    def together(words: list[bytes], texts: list[str]) -> None:
+        """Words of letters alone, as one text: each is a pre-token, and its ids end with the first that ends one. A
+        word gives one such id at least, so if there are as many as words, each has its own."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return one_by_one(words, texts)
+        joined = ids.tobytes()
+        known.update(zip(words, [joined[a:b] for a, b in zip([0, *ends], ends)]))
 
     def learn(words: Iterable[bytes]) -> list[bytes]:
         new = list(words)
         for at in range(0, len(new), _AT_ONCE):  # an encoding holds far more than its ids
-            part = new[at : at + _AT_ONCE]
-            found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
+            kinds: tuple[list, list] = [], []
+            for w in new[at : at + _AT_ONCE]:
+                text = w.decode("utf-8", "replace")
+                kinds[text.isalpha()].append((w, text))
+            for kind, encoded in zip(kinds, (one_by_one, together)):
+                if kind:
+                    encoded(*map(list, zip(*kind)))
         return new
 
     def encode(texts: list[bytes]) -> list[bytes]:

@@ -1,3 +1,4 @@
+from array import array
 from collections import Counter
 
 import public_tokenizers
@@ -64,3 +65,27 @@ def test_words_are_encoded_in_parts(monkeypatch):
     want = best_fit_packing.word_ids(path)(texts)
     monkeypatch.setattr(best_fit_packing, "_AT_ONCE", 7)
     assert best_fit_packing.word_ids(path)(texts) == want
+
+
+def test_words_of_letters_are_encoded_together(monkeypatch):
+    """Few encodings are made for many words, and ids are those of the whole text, also where letters fall apart."""
+    texts = [" ".join(f"{a}{b}word" for b in "abcdefgh") for a in "stuvwxyz"]
+    texts += ["İstanbul café café straße ǅx ﬁn 你好 مرحبا ʰa Ⅷ ª don't it's x1 ẞ � \U0001d400b", "İ a İb"]
+    tokenizer, asked = Tokenizer.from_file(PATH), []
+
+    class Counted:
+        get_vocab = tokenizer.get_vocab
+
+        @staticmethod
+        def encode_batch(batch, **more):
+            asked.extend(batch)
+            return tokenizer.encode_batch(batch, **more)
+
+        encode_batch_fast = encode_batch
+
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: Counted)
+    for some in (texts[:8], texts):
+        want = [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in some]
+        assert best_fit_packing.word_ids(PATH)([t.encode() for t in some]) == want
+        if some is not texts:
+            assert len(asked) == 1
