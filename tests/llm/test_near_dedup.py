@@ -12,7 +12,7 @@ from logspark.llm.common import materialise
 from logspark.llm.components import connected_components
 from logspark.llm.embedding_dedup import cover_tree, embedding_components
 from logspark.llm.hamming import hamming_links
-from logspark.llm.line_dedup import drop_repeated_lines, line_dedup, outlines, possible, removed_lines, short_codes
+from logspark.llm.line_dedup import drop_repeated_lines, fingerprinted_lines, letters_bridged, line_dedup, outlines, possible, removed_lines, short_codes, words_bridged
 from logspark.llm.simhash_dedup import covering_families, covering_masks, keep_one_per_group, simhash_components
 
 from . import brute
@@ -258,3 +258,48 @@ def test_pairs_of_lines_are_compared_in_slices(spark, monkeypatch):
     made.clear()
     assert {r.id for r in removed_lines(docs, radius=64).collect()} == whole and whole
     assert made.count("possible-lines") > 4
+
+
+def test_marks_refuse_no_similar_lines(spark):
+    """Counts of letters and bits of words refuse most pairs that are unlike, and none that is similar: also long lines,
+    with more of a letter than a count holds."""
+    rng, lines = random.Random(15), []
+    for n in (5, 8, 20, 60, 130):
+        words = ["".join(rng.choice("etaoinshrdlucmk0éñ") for _ in range(rng.randrange(1, 8))) for _ in range(n)]
+        lines += [" ".join(words), " ".join(edited(rng, words, n // 5)), " ".join(edited(rng, words, n // 5 + 3)), " ".join(rng.sample(words, n))]
+        lines.append("".join(rng.choice("etaoin") if rng.random() < 0.15 and c != " " else c for c in lines[-4]))
+    lines += [" ".join(["e" * 700] * k + ["ta"] * 300) for k in (5, 6, 9)]
+    _, nodes = fingerprinted_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 5, 6)
+    nodes = nodes.where("fp IS NOT NULL").withColumn("at", F.col("first.id"))
+    a, b = (nodes.select(*[F.col(c).alias(f"{n}_{c}") for c in ("at", *dedup._MARKS)]) for n in "ab")
+    got = a.join(b, F.col("a_at") < F.col("b_at")).select("a_at", "b_at", letters_bridged(0.8).alias("letters"), words_bridged(0.8).alias("words")).collect()
+    assert len(got) == len(lines) * (len(lines) - 1) // 2
+    for r in got:
+        a, b = lines[r.a_at], lines[r.b_at]
+        alike = lambda x, y: 5 * abs(len(x) - len(y)) <= max(len(x), len(y)) and 5 * brute.distance(x, y) <= max(len(x), len(y))
+        assert r.words or not alike(a.split(" "), b.split(" "))
+        assert r.letters or max(len(a), len(b)) > 2500 or not alike(a, b)
+    by = {(r.a_at, r.b_at): r for r in got}
+    n = len(lines)
+    assert by[n - 3, n - 2].letters and by[n - 2, n - 1].letters is False  # 700 edits of 5,105 characters; 2,100 of 7,208
+    assert sum(not r.letters for r in got) > len(got) // 2 < sum(not r.words for r in got)
+
+
+@pytest.mark.parametrize("most", [64, 8])
+def test_lines_of_one_phrase_make_few_pairs(spark, monkeypatch, most):
+    """Lines that share a phrase, and nothing else, aren't listed as pairs, however near fingerprints may be."""
+    rng = random.Random(5)
+    part = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6))
+    lines = [f"{part()} one phrase of all {part()}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*lines, *[f"{line} again" for line in lines[:5]]])), "doc_id long, text string")
+    made = {}
+
+    def kept(df, name):
+        made.setdefault(name, []).append(table := materialise(df, name))
+        return table
+
+    monkeypatch.setattr(dedup, "materialise", kept)
+    monkeypatch.setattr(dedup, "discard", lambda *tables: None)
+    assert {r.id for r in removed_lines(docs, radius=64, most=most).collect()} == set(range(60, 65))
+    pairs = made["line-pairs"][0].count() + made["line-rest"][0].count()
+    assert 0 < pairs < 65 * 64 // 2 // 4
