@@ -3,8 +3,10 @@
 Vectors are scaled to length 1, where cosine >= c is distance <= sqrt(2 - 2c). Centers from a bounded sample split
 all vectors into cells, large cells into blocks, and each block gets a cover tree: nested levels whose nodes have
 halving radii. Two nodes are left out if their centers lie farther apart than their covering radii and the
-threshold together; what remains is compared by cosine. Cells are left out by the same bound, so every pair of
-blocks that can hold a link meets in one task, and no task holds more than two blocks."""
+threshold together; what remains is compared by cosine. Cells are left out by the same bound. Blocks are dealt into
+groups of a bounded number of vectors, and each two groups meet in a tile, block by block: every pair of blocks that can
+hold a link meets in one task, no task holds more than two groups, and a vector goes to a tile for each group, not to
+one for each block."""
 
 from __future__ import annotations
 
@@ -21,6 +23,9 @@ from .components import connected_components
 
 LEVELS = (1.0, 0.5, 0.25)
 
+#: Blocks of a group at the most, groups at the least where there are as many blocks, and pairs whose vectors are side by side at once.
+_BLOCKS, _GROUPS, _PAIRS = 16, 8, 1 << 15
+
 
 def _array(rows: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
@@ -30,6 +35,14 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def _cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of rows i of x with rows j of y, some at a time: both sides of all pairs would be many times x and y."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), _PAIRS):
+        out[k : k + _PAIRS] = np.einsum("ij,ij->i", x[i[k : k + _PAIRS]], y[j[k : k + _PAIRS]])
+    return out
+
+
 def unit_vectors(vectors: DataFrame, width: int) -> DataFrame:
     """vec_id, embedding -> id long, unit binary (doubles of length 1, padded with zeros to width), null where a
     vector is null, zero or holds a null or non-finite component."""
@@ -128,10 +141,11 @@ def dual_traversal(x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray,
     alive, before = None, None
     for level in [*visit, last]:
         (ca, ia, ra), (cb, ib, rb) = nodes[0][level], nodes[1][level]
-        # No pair is nearer than the largest radii allow: a first look at cosines alone, then each pair's own bound.
+        # No pair is nearer than the largest radii allow: a first look at cosines alone, in single precision and wider by
+        # more than what that loses, then each pair's own bound.
         widest = min(ra.max() + rb.max() + reach, 2.0)
-        i, j = np.nonzero(x[ca] @ y[cb].T >= 1 - widest**2 / 2 - 1e-12)
-        near = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x[ca[i]], y[cb[j]]), 0)) <= ra[i] + rb[j] + reach
+        i, j = np.nonzero(x[ca].astype(np.float32) @ y[cb].astype(np.float32).T >= np.float32(1 - widest**2 / 2 - 1e-5))
+        near = np.sqrt(np.maximum(2 - 2 * _cosines(x, ca[i], y, cb[j]), 0)) <= ra[i] + rb[j] + reach
         i, j = i[near], j[near]
         if alive is not None:  # a node's rows may lie in several coarser ones: it lives if a pair of those does
             up = [_shares(nodes[s][before][1], nodes[s][level][1]) for s in (0, 1)]
@@ -147,7 +161,7 @@ def dual_traversal(x: np.ndarray, tx: np.ndarray, y: np.ndarray, ty: np.ndarray,
     a, b = np.nonzero(alive & single)
     if len(a):
         a, b = rows_a[from_a[a]], rows_b[from_b[b]]
-        hit = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
+        hit = _cosines(x, a, y, b) >= cosine
         if within:
             hit &= a != b
         yield a[hit], b[hit]
@@ -198,33 +212,57 @@ def embedding_links(units: DataFrame, cosine: float = 0.95, per_cell: int = 2000
     blocks = cells.withColumn("block", (block + F.pmod(F.xxhash64("rep"), part)).cast("long")).select("rep", "unit", "copies", "cell", "block")
     blocks = blocks.groupBy("block").applyInPandas(tree, "rep long, unit binary, copies long, cell long, block long, tree binary, row int")
 
+    # Blocks in a row go to one group. More vectors in a group mean fewer tiles that a vector goes to; a group's bound is that of a task.
+    held = min(_BLOCKS * per_cell, max(per_cell, -(-n // _GROUPS)))
+    rows_of = np.repeat([sizes[c][0] / k for c, k in zip(names, parts)], parts)
+    group_of = ((np.cumsum(rows_of) - rows_of / 2) // held).astype(np.int64)
+    cells_of = np.repeat(np.arange(len(names)), parts)
+    spots = np.array(names)
+    holds = np.zeros((len(names), group_of[-1] + 1), bool)  # which cell has blocks in which group
+    holds[cells_of, group_of] = True
+
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spots = np.array(names)
         for b in batches:
             near = _distance(_array(b["unit"]), centers[spots]) <= radius[None, :] + reach
-            out = []
-            for k, (own, cell, mine) in enumerate(zip(b["block"], np.searchsorted(spots, b["cell"]), near)):
-                mine[cell] = True
-                others = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in np.flatnonzero(mine)])
-                out.append(pd.DataFrame({"k": k, "one": np.minimum(own, others), "two": np.maximum(own, others)}))
-            out = pd.concat(out)
-            yield b.iloc[out["k"]].assign(one=out["one"].to_numpy(), two=out["two"].to_numpy())
+            near[np.arange(len(b)), np.searchsorted(spots, b["cell"])] = True
+            own = group_of[b["block"]]
+            met = near.astype(np.float32) @ holds.astype(np.float32) > 0
+            met[np.arange(len(b)), own] = True
+            yield b.assign(own=own, others=[np.flatnonzero(m) for m in met])
 
-    met = blocks.mapInPandas(meet, "rep long, unit binary, copies long, cell long, block long, tree binary, row int, one long, two long")
+    columns = "rep long, unit binary, copies long, cell long, block long, tree binary, row int"
+    met = blocks.mapInPandas(meet, f"{columns}, own long, others array<long>").withColumn("other", F.explode("others"))
+    met = met.drop("others").withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
         found, forest = np.zeros(len(rows), np.int64), _Forest(len(rows))
-        sides = [np.flatnonzero(rows["block"] == k) for k in key]
-        if all(map(len, sides)):
-            vectors, trees = zip(*[_side(rows.iloc[s]) for s in sides])
-            copies = rows["copies"].to_numpy()
-            for a, b in dual_traversal(vectors[0], trees[0], vectors[1], trees[1], cosine, key[0] == key[1]):
-                a, b = sides[0][a], sides[1][b]
-                found += np.bincount(a, copies[b], len(rows)).astype(np.int64)
-                if key[0] != key[1]:
-                    found += np.bincount(b, copies[a], len(rows)).astype(np.int64)
-                forest.add(a, b)
+        x, row, copies = _array(rows["unit"]), rows["row"].to_numpy(), rows["copies"].to_numpy()
+        trees = np.frombuffer(b"".join(rows["tree"]), "<i4").reshape(len(rows), -1).T
+        block = rows["block"].to_numpy()
+        at = np.argsort(block, kind="stable")
+        there, start = np.unique(block[at], return_index=True)
+        at = dict(zip(there, np.split(at, start[1:])))
+        one, two = ([k for k in there if group_of[k] == g] for g in key)
+        for p in one:
+            for q in two:
+                if p > q and key[0] == key[1]:
+                    continue
+                sides = []
+                for k, c in ((p, cells_of[q]), (q, cells_of[p])):  # rows of k that can reach cell c
+                    near = at[k]
+                    if cells_of[k] != c:
+                        near = near[_distance(x[near], centers[spots[c : c + 1]])[:, 0] <= radius[c] + reach]
+                    sides.append(near)
+                if not all(map(len, sides)):
+                    continue
+                v, t = zip(*[(x[s], _tree(trees[:, s], row[s])) for s in sides])
+                for a, b in dual_traversal(v[0], t[0], v[1], t[1], cosine, p == q):
+                    a, b = sides[0][a], sides[1][b]
+                    found += np.bincount(a, copies[b], len(rows)).astype(np.int64)
+                    if p != q:
+                        found += np.bincount(b, copies[a], len(rows)).astype(np.int64)
+                    forest.add(a, b)
         some = found > 0
         reps = rows["rep"].to_numpy()
         return pd.DataFrame({"rep": reps[some], "n": found[some], "root": reps[forest.root[some]]})
@@ -232,16 +270,16 @@ def embedding_links(units: DataFrame, cosine: float = 0.95, per_cell: int = 2000
     return met.groupBy("one", "two").applyInPandas(compare, "rep long, n long, root long")
 
 
-def _side(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of one block and their tree; a node's center that is not among the rows gives way to one of its rows."""
-    tree = np.frombuffer(b"".join(rows["tree"]), "<i4").reshape(len(rows), -1).T
-    where = {r: k for k, r in enumerate(rows["row"])}
+def _tree(tree: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The tree of those rows of a block that are there, by their place among them; a node's center that is not among
+    them gives way to one of its rows."""
+    where = np.full(max(tree.max(), row.max()) + 1, -1)
+    where[row] = np.arange(len(row))
     out = []
     for level in tree:
-        _, firsts, index = np.unique(level, return_index=True, return_inverse=True)
-        centers = np.array([where.get(c, f) for c, f in zip(level[firsts], firsts)])
-        out.append(centers[index])
-    return _array(rows["unit"]), np.array(out)
+        own, firsts, index = np.unique(level, return_index=True, return_inverse=True)
+        out.append(np.where(where[own] < 0, firsts, where[own])[index])
+    return np.array(out)
 
 
 def embedding_components(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 2000) -> DataFrame:

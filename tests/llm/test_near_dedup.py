@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from logspark.llm import line_dedup as dedup
 from logspark.llm.common import materialise
 from logspark.llm.components import connected_components
-from logspark.llm.embedding_dedup import cover_tree, embedding_components
+from logspark.llm.embedding_dedup import cover_tree, dual_traversal, embedding_components, embedding_links, unit_vectors
 from logspark.llm.hamming import hamming_links
 from logspark.llm.line_dedup import drop_repeated_lines, fingerprinted_lines, letters_bridged, line_dedup, outlines, possible, removed_lines, short_codes, words_bridged
 from logspark.llm.simhash_dedup import covering_families, covering_masks, keep_one_per_group, simhash_components
@@ -196,6 +197,41 @@ def test_embeddings(spark):
     assert embedding_components(df.limit(0)).collect() == []
 
 
+def test_blocks_of_vectors_meet_by_groups(spark):
+    """What a vector goes to doesn't grow with the number of blocks that it meets."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8)) + 1
+    x[60:] = x[:60] + rng.normal(size=(60, 8)) * 0.1
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.4, 1)))]
+    units = unit_vectors(df, 8).select(F.col("id").alias("rep"), "unit", F.lit(1).cast("long").alias("copies"))
+    parts = [tuple(r) for r in embedding_links(materialise(units, "units"), 0.4, per_cell=3).collect()]
+    n = Counter()
+    for rep, linked, _ in parts:
+        n[rep] += linked
+    assert n == Counter(k for link in links for k in link)
+    assert brute.roots(range(120), [(a, b) for a, _, b in parts]) == brute.roots(range(120), links)
+    # A vector comes back once at the most from each tile of its group.
+    assert max(Counter(rep for rep, _, _ in parts).values()) <= 10
+
+
+def test_pairs_of_many_near_vectors_are_not_all_held(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 64)) * 0.07
+    x[:, 0] += 1
+    x[1::50] = x[::50] + rng.normal(size=(14, 64)) * 0.025
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    tree = cover_tree(x)
+    tracemalloc.start()
+    got = sum(len(a) for a, _ in dual_traversal(x, tree, x, tree, 0.95, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    c = x @ x.T
+    assert got == (c >= 0.95).sum() - 700
+    assert peak < 120 << 20  # one side of all 490,000 pairs is 250 MB
+
+
 def test_cover_tree():
     x = np.random.default_rng(1).normal(size=(300, 3))
     x /= np.linalg.norm(x, axis=1)[:, None]
